@@ -447,11 +447,11 @@ def test_word_probabilities_sum_to_one_over_bits():
     # All words of one byte, and all that begin with a byte: the chance of the first byte sums to one.
     first = 0.0
     for b in range(256):
-        u = cm.Inputs([bytes([b])], table, code)
-        x, gate = u.of(0)
-        t, _, _ = cm._refined(cm._mixed(x, mixer.weights[0][gate]), u.u.node, mixer.odds)
-        k = code.size[b]
-        first += float(np.exp(-np.log1p(np.exp((1 - 2 * u.u.bit[:k]) * t[:k]))).prod())
+        u = cm.units([bytes([b])], code)
+        x, gate = cm.Inputs(u, cm.packed(table)).of(0)
+        t, _, _ = cm._refined(cm._mixed(x, mixer.weights[0][gate]), u.node, mixer.odds)
+        own = u.place == u.step[0]
+        first += float(np.exp(-np.log1p(np.exp((1 - 2 * u.bit[own]) * t[own]))).prod())
     assert first == pytest.approx(1, abs=1e-3)
 
 
