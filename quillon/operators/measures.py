@@ -277,3 +277,12 @@ def nearest(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k: in
     near = pairs.select("query", "neighbour", F.round(euclidean("_q", "_v"), 6).alias("distance"))
     w = Window.partitionBy("query").orderBy("distance", "neighbour")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def expected_audit(metrics: DataFrame, expected: dict[tuple[str, str], float]) -> DataFrame:
+    """section, metric, value, expected and matches (null where nothing is expected); expected is a written list."""
+    wanted = F.lit(None).cast("double")
+    for (section, metric), value in expected.items():
+        wanted = F.when((F.col("section") == section) & (F.col("metric") == metric), float(value)).otherwise(wanted)
+    checked = metrics.select("section", "metric", "value", wanted.alias("expected"))
+    return checked.withColumn("matches", F.when(F.col("expected").isNotNull(), F.col("value").eqNullSafe(F.col("expected"))))

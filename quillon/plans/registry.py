@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.functions import scalars as S
+from quillon.operators import groups as G
 from quillon.operators import measures as M
+from quillon.operators import splits as P
 from quillon.operators import tables as T
 from quillon.sources import files
 
@@ -597,12 +599,91 @@ def m14_average_linkage_groups(t):
     return labels.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("n_ids"))
 
 
-@query("""WITH s AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS x FROM documents WHERE n_chars < 2000), p AS (
- SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.x, b.x)) AS i, len(a.x) + len(b.x) AS n FROM s a JOIN s b ON a.doc_id < b.doc_id AND len(a.x) >= 0.8 * len(b.x) AND len(b.x) >= 0.8 * len(a.x))
-SELECT a, b, round(i / (n - i), 6) AS similarity FROM p WHERE i / (n - i) > 0.8""")
+#: Distinct words of every text, the least document with the same words, and pairs of such documents that are alike.
+_SETS = """s AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(string_split(lower(coalesce(text, '')), ' '))) AS x FROM documents),
+ c AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY x) AS class, x FROM s), v AS MATERIALIZED (SELECT * FROM c WHERE doc_id = class),
+ q AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.x, b.x)) AS i, len(a.x) + len(b.x) AS n FROM v a JOIN v b ON a.doc_id < b.doc_id AND len(a.x) >= 0.8 * len(b.x) AND len(b.x) >= 0.8 * len(a.x)),
+ p AS MATERIALIZED (SELECT a, b, i / (n - i) AS similarity FROM q WHERE i / (n - i) > 0.8)"""
+_COMPONENTS = f"""{_SETS}, l AS (SELECT a, b FROM p UNION SELECT b, a FROM p), g(id, low) AS (SELECT doc_id, doc_id FROM v UNION SELECT l.b, g.low FROM g JOIN l ON l.a = g.id),
+ f AS MATERIALIZED (SELECT id, min(low) AS component FROM g GROUP BY 1), o AS MATERIALIZED (SELECT doc_id AS id, component, CASE WHEN substr(md5('42:' || component), 1, 8) < '4ccccccd' THEN 'test' ELSE 'train' END AS part FROM c JOIN f ON f.id = c.class)"""
+
+
+def _word_classes(t):
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), " ")
+    return files.shared_table(P.set_classes(t.documents.select("doc_id", words.alias("x")), "doc_id", "x"))
+
+
+def _similar_classes(classes):
+    return files.shared_table(M.similar_pairs(classes.filter("id = class"), "id", "items", 0.8))
+
+
+def _disjoint(t):
+    classes = _word_classes(t)
+    found = P.components(classes.filter("id = class"), _similar_classes(classes)).withColumnRenamed("id", "class")
+    return P.disjoint_split(classes.join(found, "class").select("id", "component"), 0.3)
+
+
+@query(f"WITH {_SETS} SELECT a, b, round(similarity, 6) AS similarity FROM p")
 def d1_similar_pairs(t):
-    sets = t.documents.filter("n_chars < 2000").select("doc_id", F.split(F.lower("text"), " ").alias("x"))
-    return M.similar_pairs(sets, "doc_id", "x", 0.8).withColumn("similarity", r("similarity"))
+    return _similar_classes(_word_classes(t)).withColumn("similarity", r("similarity"))
+
+
+@query(f"WITH {_SETS} SELECT doc_id AS id, class FROM c")
+def d1_set_classes(t):
+    return _word_classes(t).select("id", "class")
+
+
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT * FROM o")
+def d2_disjoint_split(t):
+    return _disjoint(t)
+
+
+@query(f"""WITH {_SETS}, h AS (SELECT doc_id AS id, CASE WHEN substr(md5('42:' || doc_id), 1, 8) < '4ccccccd' THEN 'test' ELSE 'train' END AS part FROM v),
+ e AS (SELECT a, b, similarity FROM p UNION ALL SELECT b, a, similarity FROM p), m AS (SELECT e.a, max(similarity) AS m FROM e JOIN h ON h.id = e.b AND h.part = 'train' GROUP BY 1)
+SELECT id, round(m, 6) AS max_train_similarity FROM h LEFT JOIN m ON m.a = h.id WHERE part = 'test'""")
+def d2_max_train_similarity(t):
+    classes = _word_classes(t)
+    parts = P.disjoint_split(classes.filter("id = class").select("id", F.col("id").alias("component")), 0.3)
+    return P.max_train_similarity(parts, _similar_classes(classes)).withColumn("max_train_similarity", r("max_train_similarity"))
+
+
+_STRATA = """e AS (SELECT DISTINCT doc_id, unnest([lang, source]) AS label FROM documents), n AS (SELECT label, count(*) AS n FROM e WHERE label IS NOT NULL GROUP BY 1),
+ s AS (SELECT doc_id, coalesce(arg_min(label, (n, label)), '') AS stratum FROM documents LEFT JOIN e USING (doc_id) LEFT JOIN n USING (label) GROUP BY 1),
+ k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY stratum) AS n FROM s),
+ o AS (SELECT doc_id AS id, stratum, CASE WHEN k <= floor(n * 0.7 + 0.5) THEN 'train' ELSE 'test' END AS part FROM k)"""
+
+
+def _stratified(t):
+    return P.stratified_split(t.documents.select("doc_id", F.array("lang", "source").alias("labels")), "doc_id", "labels", 0.7)
+
+
+@query(f"WITH {_STRATA} SELECT * FROM o")
+def d3_stratified_split(t):
+    return _stratified(t)
+
+
+@query(f"WITH {_STRATA} SELECT stratum, count(*) AS n, count(*) FILTER (part = 'train') AS n_train, round(count(*) FILTER (part = 'train') / count(*), 6) AS train_share FROM o GROUP BY 1")
+def d3_split_marginals(t):
+    return P.split_marginals(_stratified(t)).withColumn("train_share", r("train_share"))
+
+
+@query(f"""WITH {_STRATA}, j AS (SELECT md5(d.text) AS text_key, part FROM documents d JOIN o ON o.id = d.doc_id WHERE text IS NOT NULL)
+SELECT text_key, count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'test') AS n_test FROM j GROUP BY 1 HAVING n_train > 0 AND n_test > 0""")
+def d8_shared_keys(t):
+    keys = t.documents.select(F.col("doc_id").alias("id"), F.md5("text").alias("text_key"))
+    return P.shared_keys(keys.join(_stratified(t), "id"), "text_key")
+
+
+@query("""WITH f AS (SELECT l_returnflag AS model, l_linestatus AS representation, l_linenumber AS k, round(avg(l_discount), 6) AS v FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1, 2, 3)
+SELECT model, representation, round(avg(v), 5) AS mean, round(avg(v), 6) AS mean_computed, round(stddev_pop(v), 6) AS std, abs(round(avg(v), 5) - avg(v)) < 1e-6 AS agrees, max(v) FILTER (k = 1) AS fold_1, max(v) FILTER (k = 2) AS fold_2,
+ max(v) FILTER (k = 3) AS fold_3, max(v) FILTER (k = 4) AS fold_4, max(v) FILTER (k = 5) AS fold_5 FROM f GROUP BY 1, 2""")
+def d10_metric_documents(t):
+    keys = [F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("representation")]
+    each = t.lineitem.filter("l_linenumber <= 5").groupBy(*keys, "l_linenumber").agg(r(F.avg("l_discount"), "v"))  # five folds
+    folds = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "v"))), lambda s: s["v"])
+    docs = each.groupBy("model", "representation").agg(F.round(F.avg("v"), 5).alias("mean"), folds.alias("folds"))
+    made = P.metric_table(docs.select(F.to_json(F.struct("*")).alias("j")), "j", 5)
+    return made.withColumns({c: r(c) for c in ("mean_computed", "std")})
 
 
 @query("""WITH k AS (SELECT source, toxic, n_chars, avg(rk) OVER (PARTITION BY source, n_chars) AS rk FROM (SELECT source, toxic, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS rk FROM documents JOIN labels USING (doc_id)))
@@ -642,3 +723,52 @@ def d9_importance(t):
 
     g = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(r(F.avg("l_discount"), "mean"), r(F.stddev_pop("l_discount"), "sd0"), r(F.stddev_samp("l_discount"), "sd1"))
     return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), "l_returnflag", "l_linestatus")))  # a row for each feature
+
+
+# Groups -----------------------------------------------------------------------
+
+
+@query("SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS ordinal FROM events")
+def w8_group_ordinals(t):
+    return G.group_ordinals(t.events, ["user_id"], ["ts", "event_id"]).select("event_id", "ordinal")
+
+
+_CLUSTERS = """n AS (SELECT user_id, event_type, count(*) AS n, min(value) AS low FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2),
+ k AS (SELECT user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY n DESC, low NULLS LAST, event_type) AS INT) AS cluster FROM n), e AS (SELECT * FROM events LEFT JOIN k USING (user_id, event_type))"""
+
+
+def _clusters(t):
+    return G.stable_labels(t.events, ["user_id"], "event_type", "value")
+
+
+@query(f"WITH {_CLUSTERS} SELECT event_id, cluster FROM e")
+def w9_stable_labels(t):
+    return _clusters(t).select("event_id", "cluster")
+
+
+@query("SELECT user_id, arg_min(event_id, (value, event_id)) FILTER (value IS NOT NULL) AS event_id FROM events GROUP BY 1")
+def w10_first_min(t):
+    return t.events.groupBy("user_id").agg(G.first_min("value", "event_id", "event_id").alias("event_id"))
+
+
+@query(f"""WITH {_CLUSTERS}, m AS (SELECT user_id, cluster, arg_min(event_id, (abs(value - 50), event_id)) FILTER (value IS NOT NULL) AS event_id FROM e WHERE cluster <= 3 GROUP BY 1, 2)
+SELECT user_id, CASE WHEN cluster = 1 THEN 'dominant_cluster_medoid' ELSE printf('cluster_%03d_medoid', cluster) END AS role, event_id FROM m WHERE event_id IS NOT NULL
+UNION ALL SELECT user_id, 'global_lowest_energy', arg_min(event_id, (value, event_id)) FROM events WHERE value IS NOT NULL GROUP BY 1""")
+def w11_representatives(t):
+    rows = _clusters(t).withColumn("distance", F.abs(F.col("value") - 50))
+    return G.representatives(rows, ["user_id"], "cluster", "event_id", "distance", "value", "event_id", top=3)
+
+
+@query("SELECT o_orderkey, o_orderstatus IS NOT DISTINCT FROM first_value(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS same_as_first FROM orders")
+def w13_same_as_first(t):
+    return G.same_as_first(t.orders, ["o_custkey"], ["o_orderkey"], "o_orderstatus").select("o_orderkey", "same_as_first")
+
+
+@query("""WITH m AS (SELECT 'orders' AS section, 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM orders UNION ALL SELECT 'orders', 'repeated_keys', count(*) - count(DISTINCT o_orderkey) FROM orders
+UNION ALL SELECT 'lineitem', 'no_quantity', count(*) - count(l_quantity) FROM lineitem UNION ALL SELECT 'lineitem', 'line_numbers', count(DISTINCT l_linenumber) FROM lineitem), x AS (
+SELECT *, CASE metric WHEN 'repeated_keys' THEN 0.0 WHEN 'no_quantity' THEN 0.0 WHEN 'line_numbers' THEN 6.0 END AS expected FROM m) SELECT *, CASE WHEN expected IS NOT NULL THEN value = expected END AS matches FROM x""")
+def a26_expected_audit(t):
+    n = F.count(F.lit(1))
+    orders = M.long_metrics(t.orders, {"rows": n, "repeated_keys": n - F.countDistinct("o_orderkey")}).withColumn("section", F.lit("orders"))
+    lines = M.long_metrics(t.lineitem, {"no_quantity": n - F.count("l_quantity"), "line_numbers": F.countDistinct("l_linenumber")}).withColumn("section", F.lit("lineitem"))
+    return M.expected_audit(orders.unionByName(lines), {("orders", "repeated_keys"): 0, ("lineitem", "no_quantity"): 0, ("lineitem", "line_numbers"): 6})
