@@ -31,7 +31,7 @@ class PieceEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.drops_space = not self._encode([" "]).ids
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str | bytes, bytes] = {}
         letters = [c for c in map(chr, range(256)) if _SIMPLE.fullmatch(c)]
         self.letters = {ord(c): self._split(c) for c in letters}
         self.space = "" if self.drops_space else self._split(" a")[:-1]
@@ -48,29 +48,39 @@ class PieceEncoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> list[str] | list[bytes]:
+        """Pieces of a text: as UTF-8 if white space is dropped, since bytes split at ASCII white space alone."""
         if self.drops_space:
-            return [x for x in re.split(r"[ \t\n\r\x0b\x0c]+", text) if x]
+            return text.encode().split()
         if not text:
             return []
         first, *rest = _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
         return [first, *[f" {x}" for x in rest]]
 
-    def _learn(self, new: list[str]) -> None:
-        """Put pieces into the cache: plain words straight through the model, all others through the whole tokenizer."""
-        other, tokenize = [], self.tokenizer.model.tokenize
+    def _learn(self, new: list[str] | list[bytes]) -> None:
+        """Put pieces into the cache: plain words straight through the model, all others through the whole tokenizer.
+
+        A plain word with a stop is the word alone and the stop, so that both share one call of the model.
+        """
+        keys, other, cache, tokenize = [], [], self.cache, self.tokenizer.model.tokenize
         for p in new:
-            if m := _SIMPLE.fullmatch(p):
-                seen = (self.space if m[1] else "") + m[2].translate(self.letters)
-                self.cache[p] = self._bytes([t.id for t in tokenize(seen)]) + self.stops[m[3]]
+            text = p.decode() if self.drops_space else p
+            if m := _SIMPLE.fullmatch(text):
+                word = p[:-1] if m[3] else p
+                if (ids := cache.get(word)) is None:
+                    seen = (self.space if m[1] else "") + m[2].translate(self.letters)
+                    ids = cache[word] = self._bytes([t.id for t in tokenize(seen)])
+                if m[3]:
+                    cache[p] = ids + self.stops[m[3]]
             else:
-                other.append(p)
+                keys.append(p)
+                other.append(text)
         if other:
             found = self._encode(other)
             ids = np.array(found.ids, self.dtype).tobytes()
             cut = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(other) + 1)) * self.width
             cut = cut.tolist()
-            self.cache.update(zip(other, [ids[a:b] for a, b in zip(cut, cut[1:])], strict=False))
+            cache.update(zip(keys, [ids[a:b] for a, b in zip(cut, cut[1:])], strict=False))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
