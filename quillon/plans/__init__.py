@@ -1 +1,3 @@
-"""Plans."""
+"""Registered queries; importing the package registers all of them."""
+
+from quillon.plans import audits, registry  # noqa: F401

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -14,16 +15,20 @@ from pyspark.sql.types import StructType
 ENCODINGS = ("utf-8", "utf-8-sig", "gbk", "latin1")
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """df written to the folder that driver and executors share, and read back."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, tag: str) -> str:
+    """An unused path in the folder that driver and executors share; a temporary folder where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """df written to the folder that driver and executors share, and read back."""
+    path = new_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def file_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -137,6 +142,17 @@ def write_tsv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
     df.select(*clean).write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="")
 
 
+def write_csv(df: DataFrame, path: str) -> str:
+    """A new version of a CSV table below path, earlier ones stay; gives the version's path."""
+    version = f"{path}/version={time.time_ns():020d}"
+    df.write.csv(version, header=True, emptyValue="")
+    return version
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
 def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
     """One Parquet folder for each table, named by at most 31 characters."""
     for name, df in tables.items():
