@@ -73,7 +73,7 @@ def read_tsv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.csv(path, sep="\t", header=True, schema=schema, enforceSchema=False)
+        return spark.read.csv(path, sep="\t", header=True, schema=schema, enforceSchema=False, escape='"')
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -137,9 +137,9 @@ def xml_events(docs: DataFrame, text_col: str, tag_types: dict[str, str]) -> Dat
 
 
 def write_tsv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
-    """The listed columns, tabs and line breaks as spaces."""
+    """The listed columns, tabs and line breaks as spaces; quotes are doubled, and null and empty text are both an empty cell."""
     clean = [F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]", " ").alias(c) for c in fields]
-    df.select(*clean).write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="")
+    df.select(*clean).write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_csv(df: DataFrame, path: str) -> str:

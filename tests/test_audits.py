@@ -92,3 +92,10 @@ def test_csv_versions_stay(spark, tmp_path):
     first = files.write_csv(spark.range(1), str(tmp_path / "t"))
     second = files.write_csv(spark.range(2), str(tmp_path / "t"))
     assert first < second and spark.read.csv(first, header=True).count() == 1 and spark.read.csv(second, header=True).count() == 2
+
+
+def test_tsv_keeps_quotes_and_blanks(spark, tmp_path):
+    texts = ['say "x"', "back\\slash\\", ' lead and trail ', '"', "a\tb\r\nc", "", None]
+    files.write_tsv(spark.createDataFrame(list(enumerate(texts)), "i int, s string"), str(tmp_path / "t"), ["i", "s"])
+    back = dict(rows(files.read_tsv(spark, str(tmp_path / "t"), "i int, s string")))
+    assert [back[i] for i in range(7)] == ['say "x"', "back\\slash\\", " lead and trail ", '"', "a b  c", None, None]
