@@ -13,6 +13,7 @@ from quillon.llm.common import materialize
 from quillon.llm.exact_dedup import exact_dedup
 from quillon.llm.langid import filter_languages
 from quillon.llm.mixing import mix_documents
+from quillon.llm.near_copies import near_copies_dedup
 from quillon.llm.packing import pack_documents
 from quillon.llm.simhash import simhash_dedup
 
@@ -32,6 +33,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash_dedup(docs, width=3, radius=2)
 
 
+def edited(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with a Jaccard similarity of 0.8 in five-word shingles the one with the smallest id."""
+    return near_copies_dedup(docs, width=5, least=0.8)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mix_documents(docs, weights=(3, 1, 2), share=1.5, stop=2.0)
@@ -42,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
 
 
-STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash_dedup", near), ("source_mix", mix), ("packing", pack)]
+STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash_dedup", near), ("near_copies", edited), ("source_mix", mix), ("packing", pack)]
 #: SQL cannot express the stages; the tests hold them against brute force.
 ORACLE_SQL = None
 
