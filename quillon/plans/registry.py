@@ -168,6 +168,26 @@ def j6_pairs_with_reasons(t):
     return T.pair_lookup_with_reasons(*_part_pairs(t), "p_partkey", "p_size").select("a", "b", "reason")
 
 
+_ALL_PAIRS = """WITH pr AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem),
+ d AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_size > 10)"""
+
+
+def _all_part_pairs(t):
+    pairs = t.lineitem.select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()
+    return pairs, t.part.filter("p_size > 10").select("p_partkey", "p_size")
+
+
+@query(_ALL_PAIRS + " SELECT a, b, x.v AS p_size_a, y.v AS p_size_b FROM pr JOIN d x ON x.k = a JOIN d y ON y.k = b")
+def j5_pair_lookup_all(t):
+    return T.pair_lookup(*_all_part_pairs(t), "p_partkey", "p_size").select("a", "b", "p_size_a", "p_size_b")
+
+
+@query(_ALL_PAIRS + """ SELECT a, b, concat_ws(';', CASE WHEN x.v IS NULL THEN 'missing_a' END, CASE WHEN y.v IS NULL THEN 'missing_b' END) AS reason
+FROM pr LEFT JOIN d x ON x.k = a LEFT JOIN d y ON y.k = b""")
+def j6_pairs_with_reasons_all(t):
+    return T.pair_lookup_with_reasons(*_all_part_pairs(t), "p_partkey", "p_size").select("a", "b", "reason")
+
+
 @query("""SELECT x.l_orderkey, x.l_linenumber AS a, y.l_linenumber AS b, count(*) AS n FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber GROUP BY 1, 2, 3""")
 def j7_pairs_in_groups(t):
     return T.pairs_in_groups(t.lineitem, ["l_orderkey"], "l_linenumber").groupBy("l_orderkey", "a", "b").agg(F.count(F.lit(1)).alias("n"))
