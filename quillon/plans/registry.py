@@ -444,6 +444,12 @@ def o2_w12_top_twenty(t):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")))  # 20 rows
 
 
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
+def w12_order_places(t):
+    rows = t.orders.select("o_orderkey", "o_totalprice")
+    return T.numbered_ids(rows, [F.desc("o_totalprice"), F.col("o_orderkey")], "%d", "place").withColumn("place", F.col("place").cast("long"))
+
+
 @query("""SELECT l_orderkey, 'supplier' AS role, l_suppkey AS value FROM lineitem UNION ALL SELECT l_orderkey, 'part', l_partkey FROM lineitem""")
 def t2_roles_to_rows(t):
     return T.roles_to_rows(t.lineitem, ["l_orderkey"], {"supplier": "l_suppkey", "part": "l_partkey"})

@@ -13,3 +13,10 @@ def test_pairs_of_all_orders(spark):
     sizes = {r["p_partkey"] for r in spark.read.parquet(f"{SF}/part.parquet").filter("p_size > 10").collect()}
     found = registry.QUERIES["j5_pair_lookup_all"](spark, SF).collect()
     assert {(r["a"], r["b"]) for r in found} == {(a, b) for a, b in want if a in sizes and b in sizes}
+
+
+def test_every_order_has_a_place(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").collect()
+    want = sorted((-r["o_totalprice"], r["o_orderkey"]) for r in orders)
+    got = {r["o_orderkey"]: r["place"] for r in registry.QUERIES["w12_order_places"](spark, SF).collect()}
+    assert got == {key: at for at, (_, key) in enumerate(want, 1)}
