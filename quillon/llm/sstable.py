@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyarrow import fs as pafs
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.llm.common import new_path, text_or_empty
-from quillon.llm.tokens import encoder
+from quillon.llm.tokens import encoder, with_end
 
 MAGIC = b"QSSTABL1"
 FOOTER = struct.Struct("<QQQQQQII8s")
@@ -206,38 +207,36 @@ class Manifest:
 def write_sstables(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Manifest:
     """Write shards of all documents below path, ordered by id across shards; the list of shards is all that the driver gets."""
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        end = np.array([end_id], enc.dtype).tobytes()
         shard = TaskContext.get().partitionId()
         file = f"{path}/shard-{shard:06d}.sst"
         store, at = pafs.FileSystem.from_uri(file)
         writer, part = None, f"{at}.{uuid.uuid4().hex}.tmp"
-        for frame in frames:
+        for batch in batches:
             if writer is None:
                 store.create_dir(at.rpartition("/")[0], recursive=True)
                 sink = store.open_output_stream(part)
                 writer = ShardWriter(sink, enc.width)
-            missing = frame["_null"].to_numpy()
-            for k, null, ids in zip(frame["_id"].tolist(), missing, enc.encode(frame["_text"].tolist()), strict=True):
-                writer.add(key_of(None if null else k), ids + end)
+            for k, ids in zip(batch["_key"].to_pylist(), with_end(enc, batch["_text"], end_id), strict=True):
+                writer.add(key_of(k), ids.tobytes())
         if writer is not None:
             writer.close()
             sink.close()
             store.move(part, at)
-            yield pd.DataFrame(
-                [(shard, file, writer.first, writer.last, len(writer.keys), writer.n_tokens, writer.offset)],
-                columns=[c.split()[0] for c in MANIFEST.split(", ")],
-            )
+            row = (shard, file, writer.first, writer.last, len(writer.keys), writer.n_tokens, writer.offset)
+            yield pa.RecordBatch.from_pylist([dict(zip([c.split()[0] for c in MANIFEST.split(", ")], row, strict=True))], schema=manifest)
 
+    kinds = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "long": pa.int64()}
+    manifest = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in MANIFEST.split(", ")])
     rows = (
         docs.select(F.col(id_col).cast("long").alias("_key"), text_or_empty(text_col).alias("_text"))
         .withColumn("_hash", F.xxhash64("_text"))
         .repartitionByRange("_key", "_hash")
         .sortWithinPartitions("_key", "_hash")
-        .select(F.coalesce("_key", F.lit(0)).alias("_id"), F.col("_key").isNull().alias("_null"), "_text")
+        .select("_key", "_text")
     )
-    shards = sorted(rows.mapInPandas(write, MANIFEST).collect(), key=lambda r: r["shard"])
+    shards = sorted(rows.mapInArrow(write, MANIFEST).collect(), key=lambda r: r["shard"])
     starts = np.cumsum([0, *[r["n_tokens"] for r in shards]]).tolist()
     return Manifest(shards, starts[:-1])
 

@@ -1,5 +1,6 @@
 """Each operator against brute force on rows with nulls, ties, repeats, long texts and clashing column names."""
 
+import functools
 import hashlib
 import itertools
 import math
@@ -35,10 +36,15 @@ def ascii_lower(text):
 # tokens, sstables, packing
 
 
-def direct(path, text):
+@functools.cache
+def whole_tokenizer(path):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text or "", add_special_tokens=False).ids
+    return tokenizer
+
+
+def direct(path, text):
+    return whole_tokenizer(path).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [BYTE_BPE, WORD_BPE])
@@ -47,6 +53,7 @@ def test_pieces_give_the_ids_of_the_whole_text(path):
     letters = " \n\t.,'$é0aZßÿ\u00a0\u3000\u0301Σ½İ'stm<|>"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(500)]
     texts += [None, "", " ", "  a  b\n\nc ", "<|endoftext|> x", "\x1c a \x1d", "don't I'll 's", "naïve, ÀÉ. ÿþ"]
+    texts += ["".join(rng.choice(" \nabZé.,%") for _ in range(rng.randrange(60))) for _ in range(2000)]
     got = PieceEncoder(path).encode(texts)
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [direct(path, t) for t in texts]
 
@@ -140,6 +147,18 @@ def test_packing(edge_docs, no_docs):
     assert packing.pack_documents(no_docs, WORD_BPE).count() == 0
 
 
+def test_packing_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 500)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.range(300).selectExpr("cast(null as long) doc_id", "'one two' text"))
+    got = [packing.pack_documents(docs.repartition(n), WORD_BPE).collect() for n in (4, 64)]
+    assert Counter(map(tuple, got[0])) == Counter(map(tuple, got[1]))
+    n = check_packed(got[0], rows_of(docs), 2048)
+    assert sum(r["length"] for r in got[0]) >= 0.98 * n * 2048
+    groups = Counter(r["sequence_id"] >> 40 for r in got[0])
+    assert len(groups) > 2 and max(groups.values()) < 700
+
+
 # simhash
 
 
@@ -440,21 +459,159 @@ def test_word_probabilities_sum_to_one_over_bits():
 
     code = cm.BitCode.of(np.bincount(np.frombuffer(b"abc " * 50, np.uint8), minlength=256))
     table = np.zeros((cm.SLOTS, 2), np.float32)
-    words = [b"ab", b"abc", b"b"]
-    cm.count_bits(words, np.zeros(3, np.int64), np.array([5, 3, 2]), table, code)
-    mixer = cm.Mixer.new(1)
-    cm.learn(words, np.zeros(3, np.int64), np.array([5, 3, 2]), table, code, mixer)
+    words = [b"ab", b"abc", b"b"] * 3
+    cm.count_bits(words, table, code)
+    mixer = cm.Mixer.new()
+    cm.learn(words, table, code, mixer)
+    assert all(np.array_equal(x, y) for x, y in zip(vars(cm.Mixer.of(mixer.flat())).values(), vars(mixer).values(), strict=True))
     # All words of one byte, and all that begin with a byte: the chance of the first byte sums to one.
     first = 0.0
     for b in range(256):
         u = cm.units([bytes([b])], code)
-        x, gate = cm.Inputs(u, cm.packed(table)).of(0)
-        t, _, _ = cm._refined(cm._mixed(x, mixer.weights[0][gate]), u.node, mixer.odds)
+        x, gate = cm.inputs(u, table, 0)
+        t, _, _ = cm._refined(cm._mixed(x, mixer.weights[gate]), u.node, mixer.odds)
         own = u.place == u.step[0]
         first += float(np.exp(-np.log1p(np.exp((1 - 2 * u.bit[own]) * t[own]))).prod())
     assert first == pytest.approx(1, abs=1e-3)
 
 
+def test_long_words_are_spelled_in_pieces():
+    from quillon.llm import context_mixing as cm
+
+    code, table, mixer = cm.BitCode.of(np.ones(256, np.int64)), np.zeros((cm.SLOTS, 2), np.float32), cm.Mixer.new()
+    word = bytes(range(97, 117)) * 100
+    parts = [word[a : a + cm.PIECE_BYTES] for a in range(0, len(word), cm.PIECE_BYTES)]
+    alone = cm.spelled(parts, table, code, mixer, 0).sum()
+    assert cm.spelled([b"a", word, b""], table, code, mixer, 0)[1] == pytest.approx(alone)
+
+
+class PlainMixer:
+    """The online mixer bit by bit, over exact contexts in dictionaries."""
+
+    def __init__(self, v, texts):
+        self.v, self.counts = v, Counter()
+        for places in texts:
+            for names, node, bit in self.bits(places):
+                for name in names:
+                    self.counts[name, node, bit] += 1
+
+    def bits(self, places):
+        from quillon.llm import text_mixing as tm
+
+        code = self.v.code
+        klass = [int(self.v.klass[p]) for p in places]
+        for i, k in enumerate(klass):
+            one, two = [klass[i - j] if i >= j else None for j in (1, 2)]
+            word = int(places[i - 1]) if i else None
+            names = [(0,), (1, one), (2, one, two), (3, word), (4, word, two)]
+            assert len(names) == tm.TABLES
+            for at in range(code.start[k], code.start[k] + code.size[k]):
+                yield names, int(code.node[at]), int(code.bit[at])
+
+    def log10(self, places, learned):
+        from quillon.llm import text_mixing as tm
+
+        weights = defaultdict(lambda: tm._START.astype(float).copy())
+        seen, own, bits, out = Counter(), Counter(), list(self.bits(places)), 0.0
+        sizes = [int(self.v.code.size[self.v.klass[p]]) for p in places]
+        ends = list(itertools.accumulate(sizes))
+        for a in range(0, len(places), tm.CHUNK):
+            steps, more_seen, more_own = defaultdict(lambda: np.zeros(tm.INPUTS)), Counter(), Counter()
+            for names, node, bit in bits[ends[a - 1] if a else 0 : ends[min(a + tm.CHUNK, len(places)) - 1]]:
+                x, n = [], 0
+                for name in names:
+                    small = self.counts[name, node, 0] + self.counts[name, node, 1] <= tm.EXACT
+                    n0, n1 = (self.counts[name, node, b] - (learned and small and b == bit) for b in (0, 1))
+                    x.append(math.log((n1 + tm.PRIOR) / (n0 + tm.PRIOR)))
+                    n = n0 + n1
+                x += [math.log((own[node, 1] + tm.PRIOR) / (own[node, 0] + tm.PRIOR)), 0.3]
+                gate = (node, sum(n >= least for least in (1, 4, 32)))
+                p = 1 / (1 + math.exp(-float(weights[gate] @ x)))
+                out += math.log10(p if bit else 1 - p)
+                steps[gate] += (bit - p) * np.array(x)
+                more_seen[gate] += p * (1 - p) * sum(y * y for y in x)
+                more_own[node, bit] += 1
+            own.update(more_own)
+            for gate, step in steps.items():
+                seen[gate] += more_seen[gate]
+                weights[gate] += tm.RATE / (tm.DAMP + seen[gate]) * step
+        return out
+
+
+def test_texts_are_mixed_as_bit_by_bit(monkeypatch):
+    from quillon.llm import context_mixing as cm, text_mixing as tm
+
+    rng = np.random.default_rng(4)
+    klass = np.array([0, 0, 1, 1, 2, 3, 4, 5, 6])
+    v = tm.Vocabulary(klass, np.zeros(9), np.ones(9), cm.BitCode.of(np.array([50, 20, 9, 9, 4, 3, 1])))
+    texts = [rng.choice(9, n, p=[0.3, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05, 0.05, 0.05]).astype(np.int32) for n in (1, 5, 64, 65, 300, 130, 0, 40)]
+    bits = tm.table_bits(30_000_000)
+    counts = np.zeros(2 * int(tm.offsets(bits)[-1]), np.uint32)
+    for at in (0, 4):  # in any parts
+        tm.count_texts(v, texts[at : at + 4], bits, counts)
+    plain, mixing = PlainMixer(v, texts), tm.Mixing(v, bits, tm.packed(counts))
+    learned = np.arange(len(texts)) % 2 == 0
+    want = [plain.log10(p, k) for p, k in zip(texts, learned, strict=True)]
+    assert mixing.read(texts, learned)[0] == pytest.approx(want, rel=5e-4, abs=1e-6)
+    monkeypatch.setattr(tm, "TOKENS_AT_ONCE", 50)  # long texts go on in runs
+    assert mixing.read(texts, learned)[0] == pytest.approx(want, rel=5e-4, abs=1e-6)
+    assert mixing.read([texts[4][::-1]], learned[:1])[0] != pytest.approx(want[4:5], rel=1e-4)  # order matters
+
+
+def test_scores_by_hand(spark, edge_docs, monkeypatch):
+    """The score put together from the plain mixer, shares of classes and of rare words, and spellings."""
+    from quillon.llm import context_mixing as cm, text_mixing as tm
+
+    monkeypatch.setattr(lm_score, "FREQUENT", 6)
+    monkeypatch.setattr(lm_score, "FIT_DOCS", 0)
+    docs = [(r["doc_id"], r["lang"], [*ascii_lower(r["text"]).split(), b"\n"], len((r["text"] or "").encode())) for r in edge_docs.collect()]
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
+    c, by_lang = Counter(), defaultdict(Counter)
+    for d, lang, words, _ in docs:
+        if not held(d):
+            c.update(words)
+            for w in words:
+                by_lang[w][lang] += 1
+    steps = Counter(math.floor(math.log2(n) * 4) for n in c.values() if n > 1)
+    least = min(s for s in steps if sum(steps[x] for x in steps if x >= s) <= 6)
+    frequent = sorted(w for w, n in c.items() if n > 1 and math.floor(math.log2(n) * 4) >= least or w == b"\n")
+    top = {w: max(by_lang[w].items(), key=lambda x: (x[1], x[0] is not None, x[0] or ""))[0] for w in frequent}
+    mass = Counter()
+    for w in frequent:
+        mass[top[w]] += c[w]
+    rank = {lang: i for i, (lang, _) in enumerate(sorted(mass.items(), key=lambda x: (-x[1], x[0] or "")))}
+    names = [(-1, 0) if w == b"\n" else (rank[top[w]], c[w].bit_length() // 3) for w in frequent]
+    kinds = sorted(set(names))
+    totals = [sum(c[w] for w, x in zip(frequent, names) if x == kind) for kind in kinds]
+    rare_total = sum(c.values()) - sum(totals)
+    v = tm.Vocabulary(np.array([*map(kinds.index, names), len(kinds)]), None, None, cm.BitCode.of(np.array([*totals, rare_total, 0])))
+    place = {w: i for i, w in enumerate(frequent)}
+    texts = [[place.get(w, len(frequent)) for w in words] for _, _, words, _ in docs]
+    plain = PlainMixer(v, [t for t, (d, *_) in zip(texts, docs) if not held(d)])
+    rare = sorted(w for w in c if w not in place)
+    parts, _ = cm.pieces(rare)
+    code, table, mixer = cm.BitCode.of(np.bincount(np.frombuffer(b" ".join([*rare, b""]), np.uint8), minlength=256)), np.zeros((cm.SLOTS, 2), np.float32), cm.Mixer.new()
+    cm.count_bits(parts, table, code)
+    cm.learn(parts, table, code, mixer)
+    bound = min(c[w] for w in frequent)
+    once = sum(c[w] == 1 for w in rare)
+    again = rare_total - once + bound * sum(c[w] == bound for w in frequent)
+    want = []
+    for (d, _, words, size), text in zip(docs, texts):
+        score = plain.log10(text, not held(d)) + sum(math.log10(c[w] / totals[kinds.index(names[place[w]])]) for w in words if w in place)
+        for w, k in Counter(w for w in words if w not in place).items():
+            left = c[w] - (0 if held(d) else k)
+            seen = math.log10(left / rare_total * (again + 1) / (once + again + 2)) if left > 0 else None
+            new = math.log10((once + 1) / (once + again + 2)) + cm.spelled([w], table, code, mixer, int(c[w] > 0))[0]
+            score += k * (seen if seen is not None else new)
+        want.append((str(d), round(score, 2), round(-score * math.log2(10) / max(size, 1), 2)))
+    key = lambda x: (x[0], x[1])
+    for n in (1, 7):
+        got = sorted(((str(r["doc_id"]), r["score"], r["bits_per_byte"]) for r in lm_score.score_documents(edge_docs.repartition(n)).collect()), key=key)
+        for g, w in zip(got, sorted(want, key=key), strict=True):
+            assert g[0] == w[0] and g[1] == pytest.approx(w[1], rel=1e-3, abs=0.02) and g[2] == pytest.approx(w[2], rel=1e-3, abs=0.02)
+
+
 def test_scores_beat_word_counts_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = lm_score.score_documents(docs).filter("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
