@@ -4,8 +4,10 @@ A document of more ids than a window is first cut into full windows and a rest.
 The rests, longest first, go each to the open window with the least room that
 still fits it; a segment tree over the remaining capacities finds that window
 in log2(window) steps. Only lengths and checksums are shuffled, in groups of
-many thousand pieces, each packed in one task; what a group wastes is a window
-or so.
+about GROUP_PIECES pieces, each packed in one task; what a group wastes is a
+window or so of the thousands that it fills. Groups come from a hash of the
+piece and the counted number of pieces, so the sequences don't depend on how
+rows are partitioned; pieces that repeat wholly are numbered and spread.
 
 Defined results: a null text has the end id alone; equal rows are packed each;
 an empty table gives an empty result; extra columns are ignored; an id that is
@@ -19,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quillon.llm.common import text_or_empty
+from quillon.llm.common import materialize, text_or_empty
 from quillon.llm.tokens import encoder, with_end
 
+#: Pieces of a group on average.
+GROUP_PIECES = 20_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECE + ", sequence_id long, offset long"
 
@@ -83,9 +86,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int,
         enc = encoder(tokenizer_path)
         for batch in batches:
             rows = []
-            for place, ids in enumerate(with_end(enc, batch["_text"].to_pylist(), end_id)):
+            for place, ids in enumerate(with_end(enc, batch["_text"], end_id)):
                 for start in range(0, len(ids), window):
-                    part = ids[start : start + window]
+                    part = ids[start : start + window].astype("<u4")
                     rows.append((place, start, len(part), zlib.crc32(part), len(ids)))
             place, *columns = np.array(rows, np.int64).reshape(-1, 5).T
             yield pa.record_batch([batch["doc_id"].take(pa.array(place)), *map(pa.array, columns)], [c.split()[0] for c in PIECE.split(", ")])
@@ -98,15 +101,16 @@ def pack_documents(
 ) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches([b for b in batches if len(b)] or [pa.RecordBatch.from_pylist([], schema=empty)])
-        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("doc_tokens", "ascending")])
         at = np.array(best_fit_decreasing(rows["length"].to_pylist(), window), np.int64).reshape(-1, 2)
-        # Windows of a task are numbered within the task's own range.
-        rows = rows.append_column("sequence_id", pa.array(at[:, 0] + (TaskContext.get().partitionId() << 40)))
-        yield from rows.append_column("offset", pa.array(at[:, 1])).to_batches()
-
-    empty = pa.schema([(c.split()[0], pa.int64()) for c in PIECE.split(", ")])
-    pieces = token_pieces(docs, tokenizer_path, window, end_id, id_col, text_col)
-    # No number of partitions, so that small groups are put together at run time.
-    return pieces.repartition(F.xxhash64("doc_id", "start", "ids_crc32")).mapInArrow(pack, PACKED)
+        # Windows of a group are numbered within the group's own range.
+        rows = rows.drop_columns(["_group"]).append_column("sequence_id", pa.array(at[:, 0] + (key[0].as_py() << 40)))
+        return rows.append_column("offset", pa.array(at[:, 1]))
+
+    names = [c.split()[0] for c in PIECE.split(", ")]
+    pieces = materialize(token_pieces(docs, tokenizer_path, window, end_id, id_col, text_col).groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), "pieces")
+    n_groups = max(1, -(-(pieces.agg(F.sum("_n")).first()[0] or 0) // GROUP_PIECES))
+    each = pieces.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    grouped = each.select(*names, F.pmod(F.xxhash64(*names, "_k"), F.lit(n_groups)).alias("_group"))
+    return grouped.groupBy("_group").applyInArrow(pack, PACKED)
