@@ -461,7 +461,7 @@ def test_word_probabilities_sum_to_one_over_bits():
     table = np.zeros((cm.SLOTS, 2), np.float32)
     words = [b"ab", b"abc", b"b"] * 3
     cm.count_bits(words, table, code)
-    mixer = cm.Mixer.new()
+    mixer, table = cm.Mixer.new(), cm.packed(table, cm.PRIOR)
     cm.learn(words, table, code, mixer)
     assert all(np.array_equal(x, y) for x, y in zip(vars(cm.Mixer.of(mixer.flat())).values(), vars(mixer).values(), strict=True))
     # All words of one byte, and all that begin with a byte: the chance of the first byte sums to one.
@@ -478,7 +478,7 @@ def test_word_probabilities_sum_to_one_over_bits():
 def test_long_words_are_spelled_in_pieces():
     from quillon.llm import context_mixing as cm
 
-    code, table, mixer = cm.BitCode.of(np.ones(256, np.int64)), np.zeros((cm.SLOTS, 2), np.float32), cm.Mixer.new()
+    code, table, mixer = cm.BitCode.of(np.ones(256, np.int64)), np.zeros(cm.SLOTS, np.uint16), cm.Mixer.new()
     word = bytes(range(97, 117)) * 100
     parts = [word[a : a + cm.PIECE_BYTES] for a in range(0, len(word), cm.PIECE_BYTES)]
     alone = cm.spelled(parts, table, code, mixer, 0).sum()
@@ -509,7 +509,7 @@ class PlainMixer:
                 yield names, int(code.node[at]), int(code.bit[at])
 
     def log10(self, places, learned):
-        from quillon.llm import text_mixing as tm
+        from quillon.llm import context_mixing as cm, text_mixing as tm
 
         weights = defaultdict(lambda: tm._START.astype(float).copy())
         seen, own, bits, out = Counter(), Counter(), list(self.bits(places)), 0.0
@@ -520,7 +520,7 @@ class PlainMixer:
             for names, node, bit in bits[ends[a - 1] if a else 0 : ends[min(a + tm.CHUNK, len(places)) - 1]]:
                 x, n = [], 0
                 for name in names:
-                    small = self.counts[name, node, 0] + self.counts[name, node, 1] <= tm.EXACT
+                    small = self.counts[name, node, 0] + self.counts[name, node, 1] <= cm.EXACT
                     n0, n1 = (self.counts[name, node, b] - (learned and small and b == bit) for b in (0, 1))
                     x.append(math.log((n1 + tm.PRIOR) / (n0 + tm.PRIOR)))
                     n = n0 + n1
@@ -564,23 +564,22 @@ def test_scores_by_hand(spark, edge_docs, monkeypatch):
 
     monkeypatch.setattr(lm_score, "FREQUENT", 6)
     monkeypatch.setattr(lm_score, "FIT_DOCS", 0)
+    monkeypatch.setattr(lm_score, "FIT_GROUPS", 1)
     docs = [(r["doc_id"], r["lang"], [*ascii_lower(r["text"]).split(), b"\n"], len((r["text"] or "").encode())) for r in edge_docs.collect()]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
     c, by_lang = Counter(), defaultdict(Counter)
+    known = Counter(lang for d, lang, *_ in docs if lang and not held(d))
+    number = {lang: i for i, (lang, _) in enumerate(sorted(known.items(), key=lambda x: (-x[1], x[0])))}
     for d, lang, words, _ in docs:
         if not held(d):
             c.update(words)
             for w in words:
-                by_lang[w][lang] += 1
+                by_lang[w][number.get(lang, lm_score.LANGS)] += 1
     steps = Counter(math.floor(math.log2(n) * 4) for n in c.values() if n > 1)
     least = min(s for s in steps if sum(steps[x] for x in steps if x >= s) <= 6)
     frequent = sorted(w for w, n in c.items() if n > 1 and math.floor(math.log2(n) * 4) >= least or w == b"\n")
-    top = {w: max(by_lang[w].items(), key=lambda x: (x[1], x[0] is not None, x[0] or ""))[0] for w in frequent}
-    mass = Counter()
-    for w in frequent:
-        mass[top[w]] += c[w]
-    rank = {lang: i for i, (lang, _) in enumerate(sorted(mass.items(), key=lambda x: (-x[1], x[0] or "")))}
-    names = [(-1, 0) if w == b"\n" else (rank[top[w]], c[w].bit_length() // 3) for w in frequent]
+    top = {w: max(by_lang[w].items(), key=lambda x: (x[1], -x[0]))[0] for w in frequent}
+    names = [(-1, 0) if w == b"\n" else (top[w], c[w].bit_length() // 3) for w in frequent]
     kinds = sorted(set(names))
     totals = [sum(c[w] for w, x in zip(frequent, names) if x == kind) for kind in kinds]
     rare_total = sum(c.values()) - sum(totals)
@@ -592,6 +591,7 @@ def test_scores_by_hand(spark, edge_docs, monkeypatch):
     parts, _ = cm.pieces(rare)
     code, table, mixer = cm.BitCode.of(np.bincount(np.frombuffer(b" ".join([*rare, b""]), np.uint8), minlength=256)), np.zeros((cm.SLOTS, 2), np.float32), cm.Mixer.new()
     cm.count_bits(parts, table, code)
+    table = cm.packed(table, cm.PRIOR)
     cm.learn(parts, table, code, mixer)
     bound = min(c[w] for w in frequent)
     once = sum(c[w] == 1 for w in rare)
