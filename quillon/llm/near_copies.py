@@ -1,12 +1,16 @@
-"""Edited copies by the exact Jaccard similarity of word shingles, with candidates from MinHash bands.
-
-Each document gets bands * rows minima of its shingles' hashes under different
-multipliers; documents that agree on all minima of a band share a bucket. A
-pair of similarity s shares one of b buckets of r minima with probability
-1 - (1 - s^r)^b, which is 0.999997 at 0.8 with 24 bands of 4. Buckets with up
-to `pair_limit` members give all their pairs; larger ones are split by each
-other band that their members share, and what is still larger links its members
-to its least one. Every candidate is then checked on the whole shingle sets.
+"""SimHash near-dedup by a similarity: candidates from fingerprints and minima, checked on whole shingle sets.
+
+BK-trees over the 64-bit fingerprints find what lies within a small radius. Pairs
+of a Jaccard similarity of 0.8 lie up to 17 bits apart, too far for any tree, so
+further candidates come from minima of the shingles' hashes: documents that
+agree on all minima of a band share a bucket, and a pair of similarity s shares
+one of b buckets of r minima with probability 1 - (1 - s^r)^b, which is 0.999997
+at 0.8 with 24 bands of 4. Each member of a bucket is first compared with the
+bucket's least one alone, so a group of copies gives a star and never all pairs.
+Members that fail this test are compared with the others of their bucket, which
+is split by its members' next bands if it has over `pair_limit`; of what is still
+larger they are compared with the least one. Every candidate is checked on the
+whole shingle sets.
 
 Defined results: a text without words is no copy of anything; one with fewer
 words than a shingle has its whole sequence as the only shingle; rows equal in
@@ -23,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm.common import materialize, maybe_broadcast, text_or_empty
-from quillon.llm.simhash import connected_components, shingle_hashes
-
+from quillon.llm.simhash import bits_of, connected_components, near_edges, shingle_hashes
 
+#: Bands beside its own that split a large bucket.
+SPLIT_BANDS = 3
 #: Documents whose shingles are held at once.
 SLICE_ROWS = 256
 
@@ -52,16 +57,19 @@ def band_keys(hashes: np.ndarray, multipliers: np.ndarray, bands: int) -> np.nda
 
 
 def _sketches(docs: DataFrame, width: int, seed: int, bands: int, rows: int) -> DataFrame:
-    """node and its band keys; documents without words have none."""
+    """node, fp (its fingerprint) and its band keys; documents without words have none."""
     multipliers = np.random.default_rng(seed).integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            found = [_shingles(t, width, seed) for t in batch["_text"].to_pylist()]
-            keys = [band_keys(h, multipliers, bands) if len(h) else np.empty(0, np.int64) for h in found]
-            yield pa.record_batch([batch["node"], pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
+            prints, keys = [], []
+            for text in batch["_text"]:
+                hashes = shingle_hashes(text.as_py(), width, seed)
+                prints.append(bits_of(hashes))
+                keys.append(band_keys(np.unique(np.array(hashes, np.uint64)), multipliers, bands) if hashes else np.empty(0, np.int64))
+            yield pa.record_batch([batch["node"], pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["node", "fp", "keys"])
 
-    return docs.select("node", "_text").mapInArrow(of, "node long, keys array<long>")
+    return docs.select("node", "_text").mapInArrow(of, "node long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
@@ -73,43 +81,81 @@ def _sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
     return docs.select("node", "_text").mapInArrow(of, "node long, s array<long>")
 
 
-def _candidates(keyed: DataFrame, sketches: DataFrame, pair_limit: int, split: bool = True) -> DataFrame:
-    """Pairs (a, b), a > b, of nodes that share a bucket (columns node, key)."""
-    large = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter(F.col("n") > pair_limit), "near-large")
-    none, marked = large.isEmpty(), maybe_broadcast(large, 32)
-    rest = keyed if none else keyed.join(marked, "key", "left_anti")
-    members = rest.groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("m")).filter("size(m) > 1")
-    pairs = members.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(y AS a, x AS b))))")).alias("p")).select("p.*")
-    if none:
-        return pairs
-    hot = keyed.join(marked.select("key", "least"), "key")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) whose sets are similar. The side that many pairs share is joined first, while rows are small."""
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def _tree_pairs(sketches: DataFrame, radius: int) -> DataFrame:
+    """Pairs of nodes whose fingerprints are equal or linked within radius by BK-trees, each to a least one."""
+    known = sketches.filter(F.size("keys") > 0).select("node", "fp")
+    least = materialize(known.groupBy("fp").agg(F.min("node").alias("least")), "near-prints")
+    equal = known.join(least, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    edges = near_edges(least.select(F.col("fp").alias("node"), "fp"), radius)
+    for end in ("a", "b"):
+        edges = edges.join(least.select(F.col("fp").alias(end), F.col("least").alias(f"_{end}")), end)
+    return equal.unionByName(edges.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
+def _pairs_with_failed(members: DataFrame, sketches: DataFrame, pair_limit: int, split: bool = True) -> DataFrame:
+    """Pairs (a, b) of a failed member and another one of its bucket (columns key, node, failed)."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.max("failed").alias("some"))
+    sizes = materialize(sizes.filter("n > 1 and some").select("key", "n", "least"), "near-sizes")
+    known = members.join(maybe_broadcast(sizes, 40), "key")
+    lists = known.filter(F.col("n") <= pair_limit).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "failed"))).alias("m"))
+    every = "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> x.failed or y.failed), y -> struct(y.node AS a, x.node AS b))))"
+    pairs = lists.select(F.explode(F.expr(every)).alias("p")).select("p.*")
+    large = known.filter(F.col("n") > pair_limit)
     if not split:
-        return pairs.unionByName(hot.select(F.col("node").alias("a"), F.col("least").alias("b")).filter("a <> b"))
-    again = hot.select("node", "key").join(sketches, "node").select("node", "key", F.explode("keys").alias("k")).filter("k <> key")
-    again = again.select("node", F.xxhash64(F.least("key", "k"), F.greatest("key", "k")).alias("key")).distinct()
-    return pairs.unionByName(_candidates(materialize(again, "near-split"), sketches, pair_limit, split=False))
+        return pairs.unionByName(large.filter("failed").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    # A large bucket is split by bands that follow its own.
+    at = F.array_position("keys", F.col("key")).cast("int") - 1
+    others = F.transform(F.sequence(F.lit(1), F.lit(SPLIT_BANDS)), lambda i: F.get("keys", F.pmod(at + i, F.size("keys"))))
+    again = large.select("node", "key", "failed").join(sketches.select("node", "keys"), "node").select("node", "failed", "key", F.explode(others).alias("k"))
+    again = again.select("node", "failed", F.xxhash64("key", "k").alias("key"))
+    return pairs.unionByName(_pairs_with_failed(materialize(again, "near-split"), sketches, pair_limit, split=False))
 
 
 def near_copies_dedup(
-    docs: DataFrame, *, width: int = 5, least: float = 0.8, bands: int = 24, rows: int = 4, seed: int = 42, pair_limit: int = 64, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, width: int = 5, least: float = 0.8, radius: int = 2, bands: int = 24, rows: int = 4, seed: int = 42, pair_limit: int = 64, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The documents, all columns, without those linked by similarities of at least `least` to one with a smaller id."""
     node = F.xxhash64(F.col(id_col).cast("long"), text_or_empty(text_col))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"), node.alias("node"))
-    sketches = materialize(_sketches(texts, width, seed, bands, rows), "near-sketches")
-    pairs = materialize(_candidates(sketches.select("node", F.explode("keys").alias("key")), sketches, pair_limit).distinct(), "near-pairs")
-    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-asked")
-    asked = texts.join(maybe_broadcast(asked, 16), "node", "left_semi")
+    sketches = materialize(_sketches(texts, width, seed, bands, rows).dropDuplicates(["node"]), "near-sketches")
+    keyed = sketches.select("node", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
+    buckets = materialize(buckets.select("key", "least"), "near-buckets")
+    stars = materialize(keyed.join(maybe_broadcast(buckets, 24), "key").select("key", "node", "least"), "near-stars")
+    pairs = _tree_pairs(sketches, radius).unionByName(stars.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    pairs = materialize(_ordered(pairs), "near-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = texts.join(maybe_broadcast(materialize(asked, "near-asked"), 16), "node", "left_semi")
     sets = materialize(_sets(asked, width, seed).dropDuplicates(["node"]), "near-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    edges = both.filter(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    edges = materialize(_similar(pairs, sets, least), "near-edges")
+    # Members of a bucket whose least one is not like them.
+    failed = pairs.join(maybe_broadcast(edges, 24), ["a", "b"], "left_anti")
+    failed = stars.filter("node <> least").join(maybe_broadcast(materialize(failed, "near-failed"), 24).withColumnsRenamed({"a": "node", "b": "least"}), ["node", "least"], "left_semi")
+    failed = materialize(failed.select("key", "node"), "near-failed-members")
+    if not failed.isEmpty():
+        members = stars.join(maybe_broadcast(failed.select("key").distinct(), 16), "key", "left_semi").select("key", "node")
+        members = members.join(failed.withColumn("failed", F.lit(True)), ["key", "node"], "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+        more = _ordered(_pairs_with_failed(materialize(members, "near-members"), sketches, pair_limit)).join(pairs, ["a", "b"], "left_anti")
+        edges = edges.unionByName(_similar(more, sets, least))
     found = connected_components(edges)  # every node but a component's own least one
-    members = materialize(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "near-members")
+    members = materialize(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "near-components")
     named = texts.select("node", "_id").join(maybe_broadcast(members, 16), "node").distinct()
     place = F.struct(F.col("_id").isNull().alias("last"), "_id", "node")
     named = materialize(named.select("component", place.alias("place")), "near-named")
     kept = materialize(named.groupBy("component").agg(F.min("place").alias("kept")), "near-kept")
-    gone = named.join(maybe_broadcast(kept, 40), "component").filter("place.node <> kept.node").select(F.col("place.node").alias("_gone"))
+    gone = named.join(maybe_broadcast(kept, 40), "component").filter("place.node <> kept.node").select("place.node")
     gone = materialize(gone, "near-gone")
-    return docs.join(maybe_broadcast(gone, 16), node == F.col("_gone"), "left_anti")
+    # The row stands apart from the node, whatever its columns are called.
+    row = docs.select(F.struct("*").alias("row"), node.alias("node"))
+    return row.join(maybe_broadcast(gone, 16), "node", "left_anti").select("row.*")

@@ -14,8 +14,10 @@ connected components joins these edges.
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero, and one with fewer words than a shingle has its whole
-sequence as the only shingle; null ids never name a component unless all of its
-ids are null; equal rows are listed each; an empty table gives an empty result.
+sequence as the only shingle; a component is named by its smallest id, null only
+if all of its ids are null; equal rows are listed each; an empty table gives an
+empty result. `simhash_dedup` keeps one row of each component: the one with the
+smallest id, nulls last, and of rows with that id one by a hash of the row.
 """
 
 from __future__ import annotations
@@ -49,9 +51,8 @@ def shingle_hashes(text: str | None, width: int, seed: int) -> list[int]:
     return [digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """64 bits; a bit is set if over half of the shingles' hashes set it."""
-    hashes = shingle_hashes(text, width, seed)
+def bits_of(hashes: list[int]) -> int:
+    """64 bits; a bit is set if over half of the hashes set it."""
     if not hashes:
         return 0
     ones = np.zeros(64, np.int64)
@@ -62,15 +63,20 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (64 bits as a long) of every document."""
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    return bits_of(shingle_hashes(text, width, seed))
+
+
+def fingerprints(docs: DataFrame, width: int, seed: int, text_col: str) -> DataFrame:
+    """docs (its other columns must be longs) with fp (64 bits as a long) in place of the text."""
+    names = [c for c in docs.columns if c != text_col]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, width, seed) for t in batch["_text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([batch["doc_id"], pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), width, seed) for t in batch[text_col]], np.uint64).view(np.int64)
+            yield pa.record_batch([*[batch[c] for c in names], pa.array(fp)], [*names, "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text")).mapInArrow(of, "doc_id long, fp long")
+    return docs.mapInArrow(of, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 # A forest of BK-trees as arrays -------------------------------------------
@@ -219,23 +225,47 @@ def connected_components(edges: DataFrame) -> DataFrame:
         one = new
 
 
+def _roots(nodes: DataFrame, radius: int, tree_limit: int) -> DataFrame:
+    """fp and root (the smallest fingerprint that it is linked to) of all fingerprints (column fp, distinct) that are linked to others."""
+    edges = near_edges(nodes.select(F.col("fp").alias("node"), "fp"), radius, tree_limit)
+    found = materialize(connected_components(edges), "simhash-members")
+    return found.select(F.col("node").alias("fp"), F.col("component").alias("root")).unionByName(found.select(F.col("component").alias("fp"), F.col("component").alias("root")).distinct())
+
+
 def simhash_components(
     docs: DataFrame, *, width: int = 3, radius: int = 2, seed: int = 42, tree_limit: int = 200_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest id reachable) of every document."""
-    prints = materialize(fingerprints(docs, width, seed, id_col, text_col), "simhash-prints")
-    # A node stands for a distinct fingerprint and is named by its smallest id; one without ids is named by a number above all ids, which must be under 2^61.
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("_least"))
-    nodes = materialize(nodes.withColumn("node", F.coalesce("_least", -F.pmod(F.xxhash64("fp"), F.lit(1 << 61)) + F.lit(1 << 62))), "simhash-nodes")
-    members = materialize(connected_components(near_edges(nodes.select("node", "fp"), radius, tree_limit)), "simhash-members")
-    named = nodes.join(members, "node", "left").select("fp", F.coalesce("component", "_least").alias("component_id"))
-    named = materialize(named.withColumn("component_id", F.when(F.col("component_id") < (1 << 61), F.col("component_id"))), "simhash-named")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text"))
+    prints = materialize(fingerprints(own, width, seed, "_text"), "simhash-prints")
+    # A node is a distinct fingerprint; ids are attached to linked ones afterwards, so any id may occur.
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("_least")), "simhash-nodes")
+    roots = materialize(_roots(nodes, radius, tree_limit), "simhash-roots")
+    rooted = nodes.join(maybe_broadcast(roots, 16), "fp", "left")
+    least = rooted.filter("root is not null").groupBy("root").agg(F.min("_least").alias("_name"))
+    least = materialize(least, "simhash-least")
+    named = rooted.join(maybe_broadcast(least, 24), "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("_least")).otherwise(F.col("_name")).alias("component_id"))
+    named = materialize(named, "simhash-named")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents, all columns, without those that are linked to a document with a smaller id."""
-    found = simhash_components(docs, id_col=id_col, **options)
-    gone = materialize(found.filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
-    gone = maybe_broadcast(gone, 16)
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+def simhash_dedup(
+    docs: DataFrame, *, width: int = 3, radius: int = 2, seed: int = 42, tree_limit: int = 200_000, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents, all columns, with one row left of each component."""
+    # A row is named by 128 bits of a hash of all of its columns.
+    key = [F.xxhash64(F.lit(i), *[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns]) for i in (1, 2)]
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text"), key[0].alias("h1"), key[1].alias("h2"))
+    prints = materialize(fingerprints(own, width, seed, "_text"), "simhash-prints")
+    roots = materialize(_roots(prints.select("fp").distinct(), radius, tree_limit), "simhash-roots")
+    rooted = prints.join(maybe_broadcast(roots, 16), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")
+    groups = rooted.groupBy("root").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = materialize(groups.select("root", "best.h1", "best.h2"), "simhash-groups").withColumnsRenamed({"h1": "b1", "h2": "b2"})
+    marked = rooted.join(maybe_broadcast(groups, 24), "root").groupBy("h1", "h2").agg(F.min((F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2"))).alias("stays"), F.count(F.lit(1)).alias("n"))
+    marked = materialize(marked.filter("n > 1 or not stays").select("h1", "h2", "stays"), "simhash-marked")
+    keyed = docs.select(F.struct("*").alias("row"), key[0].alias("h1"), key[1].alias("h2"))
+    left = keyed.join(maybe_broadcast(marked, 24), ["h1", "h2"], "left_anti").select("row.*")
+    # Of rows that are equal in all columns one stays.
+    equal = keyed.join(maybe_broadcast(marked.filter("stays"), 24), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("row").alias("row"))
+    return left.unionByName(equal.select("row.*"))

@@ -204,6 +204,19 @@ def test_simhash(edge_docs, no_docs):
     assert {r["doc_id"] for r in kept.collect()} - {None} == {d for d, c in named.items() if d == c and d < 10**9}
 
 
+def test_simhash_of_any_ids_and_repeated_rows(spark):
+    rows = [(1 << 61, "a b c d"), ((1 << 61) + 5, "A b c d"), ((1 << 62) + 7, "x y z w"), (-(1 << 63), "q r s t"), ((1 << 63) - 1, "Q r s t"), (3, "one text here"), (5, "one text here"), (5, "quite other words"), (9, "same row"), (9, "same row"), (None, "lone words alone")]
+    docs = spark.createDataFrame([(*r, 0, "g") for r in rows], "doc_id long, text string, _row int, _gone string")
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.simhash_components(docs).collect()}
+    for d, t in rows:
+        same = [x for x, u in rows if u.lower() == t.lower() and x is not None]
+        assert got[d, f"{brute_fingerprint(t):016x}"] == min(same, default=None)
+    kept = simhash.simhash_dedup(docs)
+    assert kept.columns == docs.columns
+    want = [(1 << 61, "a b c d"), ((1 << 62) + 7, "x y z w"), (-(1 << 63), "q r s t"), (3, "one text here"), (5, "quite other words"), (9, "same row"), (None, "lone words alone")]
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(want)
+
+
 @pytest.mark.parametrize("limit", [200_000, 5])
 def test_near_edges_connect_what_is_near(spark, limit):
     rng = random.Random(1)

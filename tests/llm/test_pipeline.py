@@ -4,7 +4,8 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline
-from tests.llm.test_operators import ascii_lower, brute_components, brute_fingerprint, check_packed, rows_of
+from tests.llm.test_near_copies import brute_kept
+from tests.llm.test_operators import ascii_lower, check_packed, rows_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,8 +26,7 @@ def test_stages(spark, tmp_path):
                 best[ascii_lower(t)] = max(d, best.get(ascii_lower(t), -1))
             assert {d for d, _ in rows_of(out)} == set(best.values())
         if name == "simhash_dedup":
-            named = brute_components({d: brute_fingerprint(t) for d, t in before}, 2)
-            assert {d for d, _ in rows_of(out)} == {d for d, c in named.items() if d == c}
+            assert {d for d, _ in rows_of(out)} == brute_kept(before)
         if name == "source_mix":
             assert max(Counter(d for d, _ in rows_of(out)).values()) <= 2
         if name == "packing":
