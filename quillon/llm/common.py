@@ -43,6 +43,12 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def row_hash(df: DataFrame, seed: int) -> Column:
+    """64 bits of a hash of all columns; a null differs from every value."""
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return F.xxhash64(F.lit(seed), *names, *[c.isNull() for c in names])
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and nothing else changed."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

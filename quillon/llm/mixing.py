@@ -14,7 +14,8 @@ the random numbers come from hashes too, so reruns agree.
 
 Defined results: a null text has size 0; documents of size 0 take 0 words; a
 null source is a source of its own, ordered last; repeated rows are rounded
-each on its own; an empty table gives an empty result.
+each on its own, and rows that differ in any column are different rows; an empty
+table gives an empty result.
 """
 
 import math
@@ -24,13 +25,13 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quillon.llm.common import materialize, maybe_broadcast, text_or_empty, word_count
+from quillon.llm.common import materialize, maybe_broadcast, row_hash, text_or_empty, word_count
 
 #: Documents of a first group, and groups that meet at each further level.
 LEAF_DOCS, FAN_IN = 20_000, 64
-#: Sources are listed on the driver to set the targets.
-MAX_SOURCES = 1_000_000
-UNIT = "doc_id long, _null boolean, _row long, _k long, _source int, size long, _whole long, _part double, _leaf long, _done boolean"
+#: Sources are listed on the driver to set the targets, and dealt to groups of so many.
+MAX_SOURCES, GROUP_SOURCES = 1_000_000, 1000
+UNIT = "doc_id long, _null boolean, _row long, _row2 long, _k long, _source int, size long, _whole long, _part double, _leaf long, _deal int, _done boolean"
 
 
 def source_targets(sizes: list[int], weights: list[float], share: float, stop: float) -> list[float]:
@@ -47,7 +48,8 @@ def source_targets(sizes: list[int], weights: list[float], share: float, stop: f
         for i in full:
             targets[i] = stop * sizes[i]
         total -= sum(targets[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
+        gone = set(full)
+        open_ = [i for i in open_ if i not in gone]
     return targets
 
 
@@ -108,7 +110,7 @@ def _tree_level(units: DataFrame, last: bool, seed: int) -> DataFrame:
     def groups(rows: pd.DataFrame) -> pd.DataFrame:
         return _round_group(rows, last, seed)
 
-    return units.groupBy("_leaf").applyInPandas(groups, UNIT)
+    return units.groupBy("_leaf", "_deal").applyInPandas(groups, UNIT)
 
 
 def mix_copies(
@@ -122,7 +124,7 @@ def mix_copies(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """doc_id, _row (a hash of the row), _k (which of equal rows), size, source_size, target, copies for each document.
+    """doc_id, _row and _row2 (hashes of the whole row), _k (which of equal rows), size, source_size, target, copies for each document.
 
     Sources, by code point and null last, weigh what `weights` says, repeating.
     """
@@ -130,12 +132,13 @@ def mix_copies(
     text = text_or_empty(text_col)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.xxhash64(F.coalesce(F.col(id_col), F.lit(-1)), text, F.coalesce(F.col(source_col), F.lit("\0"))).alias("_row"),
+        row_hash(docs, 1).alias("_row"),
+        row_hash(docs, 2).alias("_row2"),
         F.col(source_col).alias("_name"),
         word_count(text).alias("size"),
     )
     # Equal rows are counted, then numbered, so that no task holds them before they are split by the group.
-    rows = materialize(rows.groupBy("doc_id", "_row", "_name", "size").agg(F.count(F.lit(1)).alias("_n")), "mix-rows")
+    rows = materialize(rows.groupBy("doc_id", "_row", "_row2", "_name", "size").agg(F.count(F.lit(1)).alias("_n")), "mix-rows")
     sums = rows.groupBy("_name").agg(F.sum(F.col("size") * F.col("_n")).alias("s"), F.sum("_n").alias("n"))
     found = sums.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -157,8 +160,8 @@ def mix_copies(
         rows.join(dim, F.col("_name").eqNullSafe(F.col("_name2")))
         .withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
         .select(
-            F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("_null"), "_row", F.col("_k").cast("long"), "_source", "size", whole.alias("_whole"), (F.col("_copies") - whole).alias("_part"),
-            F.pmod(F.xxhash64("_row", "_k"), F.lit(leafs)).alias("_leaf"), F.lit(False).alias("_done"),
+            F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("_null"), "_row", "_row2", F.col("_k").cast("long"), "_source", "size", whole.alias("_whole"), (F.col("_copies") - whole).alias("_part"),
+            F.pmod(F.xxhash64("_row", "_k"), F.lit(leafs)).alias("_leaf"), (F.col("_source") % (1 + len(found) // GROUP_SOURCES)).cast("int").alias("_deal"), F.lit(False).alias("_done"),
         )
     )
     done: list[DataFrame] = []
@@ -174,7 +177,7 @@ def mix_copies(
     for more in done[1:]:
         out = out.unionByName(more)
     return out.join(dim.drop("_name2", "_copies"), "_source").select(
-        F.when(~F.col("_null"), F.col("doc_id")).alias("doc_id"), "_row", "_k", "size", "source_size", "target", (F.col("_whole") + F.col("_part").cast("long")).alias("copies")
+        F.when(~F.col("_null"), F.col("doc_id")).alias("doc_id"), "_row", "_row2", "_k", "size", "source_size", "target", (F.col("_whole") + F.col("_part").cast("long")).alias("copies")
     )
 
 
@@ -188,15 +191,12 @@ def mix_documents(
 ) -> DataFrame:
     """The documents, all columns, each as often as the mix takes it."""
     copies = mix_copies(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    # Equal rows share their key; the mix takes as many of them as their copies sum up to.
-    total = materialize(copies.groupBy("_row").agg(F.sum("copies").alias("_take"), F.count(F.lit(1)).alias("_n")), "mix-take").filter("_take > 0")
-    keyed = docs.select(
-        F.struct("*").alias("_doc"),
-        F.xxhash64(F.coalesce(F.col(id_col), F.lit(-1)), text_or_empty(text_col), F.coalesce(F.col(source_col), F.lit("\0"))).alias("_row"),
-    )
-    joined = keyed.join(maybe_broadcast(total, 48), "_row")
+    # Rows that are equal in all columns share their key; the mix takes as many of them as their copies sum up to.
+    total = materialize(copies.groupBy("_row", "_row2").agg(F.sum("copies").alias("_take"), F.count(F.lit(1)).alias("_n")), "mix-take").filter("_take > 0")
+    keyed = docs.select(F.struct("*").alias("_doc"), row_hash(docs, 1).alias("_row"), row_hash(docs, 2).alias("_row2"))
+    joined = keyed.join(maybe_broadcast(total, 56), ["_row", "_row2"])
     once = joined.filter("_n = 1").select("_doc", "_take")
     if not total.filter("_n > 1").isEmpty():
-        many = joined.filter("_n > 1").groupBy("_row").agg(F.first("_doc").alias("_doc"), F.first("_take").alias("_take"))
+        many = joined.filter("_n > 1").groupBy("_row", "_row2").agg(F.first("_doc").alias("_doc"), F.first("_take").alias("_take"))
         once = once.unionByName(many.select("_doc", "_take"))
     return once.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_take")))).select("_doc.*")

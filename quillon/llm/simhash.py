@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quillon.llm.common import materialize, maybe_broadcast, text_or_empty
+from quillon.llm.common import materialize, maybe_broadcast, row_hash, text_or_empty
 
 #: Queries that search a forest together, and open pairs of query and node that they may have.
 SEARCH_ROWS, SEARCH_PAIRS = 50_000, 4_000_000
@@ -254,7 +254,7 @@ def simhash_dedup(
 ) -> DataFrame:
     """The documents, all columns, with one row left of each component."""
     # A row is named by 128 bits of a hash of all of its columns.
-    key = [F.xxhash64(F.lit(i), *[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns]) for i in (1, 2)]
+    key = [row_hash(docs, seed) for seed in (1, 2)]
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text"), key[0].alias("h1"), key[1].alias("h2"))
     prints = materialize(fingerprints(own, width, seed, "_text"), "simhash-prints")
     roots = materialize(_roots(prints.select("fp").distinct(), radius, tree_limit), "simhash-roots")
