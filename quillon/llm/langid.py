@@ -164,7 +164,7 @@ def learn_languages(
     limit = F.lit(0)
     for r in counts:
         limit = F.when(F.col(lang_col) == r[lang_col], F.lit(min(space, int(space * (2 * per_lang + 50) / r["count"])))).otherwise(limit)
-    near = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(space)).alias("_h"), limit.alias("_to"))
+    near = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)), F.lit(space)).alias("_h"), limit.alias("_to"))
     near = near.filter("_h < _to")
     first = Window.partitionBy("lang").orderBy("_h", F.xxhash64("text"))
     sample = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_lang).select("lang", "text")
@@ -178,8 +178,8 @@ def learn_languages(
     return fit(np.stack([np.frombuffer(x, np.float32) for _, x in rows]), [lang for lang, _ in rows])
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with _lang and _score, in one pass over the texts and without a shuffle."""
+def _judge(docs: DataFrame, model: LanguageModel):
+    """A function from texts to (lang, score), in one pass over the texts and without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x machines at most
 
     @F.pandas_udf("lang string, score double")
@@ -188,7 +188,14 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
 
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
 
-    return docs.withColumn("_p", judge(F.col(text_col))).select("*", F.col("_p.lang").alias("_lang"), F.col("_p.score").alias("_score")).drop("_p")
+    return judge
+
+
+def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """docs with _lang and _score, in place of columns of these names."""
+    told = docs.select(F.struct("*").alias("row"), _judge(docs, model)(F.col(text_col)).alias("told"))
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("_lang", "_score")]
+    return told.select(*kept, F.col("told.lang").alias("_lang"), F.col("told.score").alias("_score"))
 
 
 def language_report(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
@@ -202,5 +209,6 @@ def language_report(docs: DataFrame, *, id_col: str = "doc_id", **options) -> Da
 def filter_languages(docs: DataFrame, *, min_score: float = 0.0, **options) -> DataFrame:
     """The documents, all columns, whose language is told with at least min_score; "und" goes."""
     model = learn_languages(docs, **options)
-    told = predict_languages(docs, model, options.get("text_col", "text"))
-    return told.filter((F.col("_lang") != "und") & (F.col("_score") >= min_score)).drop("_lang", "_score")
+    judged = _judge(docs, model)(F.col(options.get("text_col", "text")))
+    told = docs.select(F.struct("*").alias("row"), judged.alias("told"))
+    return told.filter((F.col("told.lang") != "und") & (F.col("told.score") >= min_score)).select("row.*")

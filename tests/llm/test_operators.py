@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quillon.llm import flac, langid, lm_score, packing, simhash, sstable, url_filter
+from quillon.llm import flac, langid, lm_score, packing, shard, simhash, sstable, url_filter
 from quillon.llm.exact_dedup import exact_dedup, exact_dedup_report
 from quillon.llm.mixing import mix_copies, mix_documents, mix_report, pivot, source_targets
 from quillon.llm.shard import minimax_cuts, shard_documents, shards_needed
@@ -276,6 +276,44 @@ def test_minimax_is_the_best_partition(sizes, k):
     assert shards_needed(sizes, capacity) == len(begins)
 
 
+@given(st.lists(st.tuples(st.integers(-(1 << 63), (1 << 63) - 1) | st.integers(-40, 40), st.integers(1, 30)), min_size=1, max_size=40, unique_by=lambda x: x[0]), st.integers(1, 7), st.integers(2, 6))
+@settings(max_examples=150, deadline=None)
+def test_refined_cuts_are_those_of_all_groups(groups, k, round_bits):
+    groups = sorted(groups)
+
+    def parts(pieces, more):
+        out = []
+        for depth in {p.depth for p in pieces}:
+            sums, held, to = Counter(), Counter(), min(64, depth + min(more, round_bits))
+            for h, size in groups:
+                if any(p.depth == depth and p.bits == h >> (64 - depth) for p in pieces):
+                    sums[h >> (64 - to)] += size
+                    held[h >> (64 - to)] += 1
+            out += [shard.Piece(to, b, n, held[b] == 1) for b, n in sums.items()]
+        return sorted(out, key=lambda p: p.start)
+
+    whole = shard.Piece(1, 0, 0, False), shard.Piece(1, -1, 0, False)
+    capacity, begins = shard.refined_cuts(parts(whole, 1), k, parts)
+    sizes = [s for _, s in groups]
+    assert capacity == minimax_cuts(sizes, k)[0]
+    sums = Counter()
+    for h, size in groups:
+        sums[sum(h >= b for b in begins)] += size
+    assert max(sums.values()) <= capacity and len(begins) < k
+
+
+def test_shards_of_the_query_are_the_best_over_groups(spark):
+    from quillon.llm.queries import op6_minimax_shards
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.selectExpr("xxhash64(coalesce(text, '')) h", "octet_length(coalesce(text, '')) + 16 n").collect()
+    groups = Counter()
+    for r in rows:
+        groups[r["h"]] += r["n"]
+    got = op6_minimax_shards(spark, "/root/testdata/sf0.01").groupBy("shard").sum("size").collect()
+    assert max(r[1] for r in got) == minimax_cuts([groups[h] for h in sorted(groups)], 40)[0]
+
+
 def test_shards(edge_docs, no_docs):
     got = shard_documents(edge_docs, 7).collect()
     want = Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in rows_of(edge_docs))
@@ -340,6 +378,13 @@ def test_mixing(edge_docs, no_docs, monkeypatch):
     assert mix_report(no_docs).count() == 0 and mix_documents(no_docs).count() == 0
 
 
+def test_mixing_keeps_rows_that_differ_in_any_column(spark):
+    rows = [(1, "a b c", "s", i) for i in (1, 2, 3)] + [(None, "a b", None, 7), (-1, "a b", "\0", 8), (2, "d e", "s", 5), (2, "d e", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _doc int")
+    mixed = Counter(map(tuple, mix_documents(docs, share=2.0).collect()))
+    assert mixed == Counter({r: 2 * n for r, n in Counter(rows).items()})
+
+
 # urls
 
 
@@ -438,6 +483,10 @@ def test_languages(spark, edge_docs, no_docs):
     # Nothing but the text decides.
     from pyspark.sql import functions as F
 
+    named = edge_docs.selectExpr("*", "'x' _lang", "1 _score", "2 _p", "3 told", "4 row")
+    filtered = langid.filter_languages(named)
+    assert filtered.columns == named.columns and filtered.filter("_lang = 'x' and _p = 2 and row = 4").count() == kept.count()
+
     model = langid.learn_languages(edge_docs)
     shown = edge_docs.withColumns({"lang": F.lit("fr"), "source": F.lit("q")})
     pair = [sorted(map(str, langid.predict_languages(d, model).select("text", "_lang", "_score").collect())) for d in (edge_docs, shown)]
