@@ -1,8 +1,8 @@
 """URL rules held in a Bloom filter cascade over the corpus's own key universe.
 
 A key is a host suffix joined to a path prefix. The universe is every key that
-the pages can ask for: each suffix of a host, with each prefix of the path that
-is as long as some rule's path. Level 0 encodes the listed keys, level 1 those
+the pages can ask for: each suffix of a host and prefix of the path that are as
+long as some rule's. Level 0 encodes the listed keys, level 1 those
 keys of the universe that level 0 wrongly accepts, level 2 the listed keys that
 level 1 wrongly accepts, and so on until none is left; the first level that
 rejects a key decides. For keys of that universe the answer is exact, so no join
@@ -37,21 +37,21 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.when(fits, host).otherwise("")), F.when(fits, path).otherwise("")
 
 
-def host_suffixes(host: Column) -> Column:
-    """host and what follows each of its dots, longest first."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, k, n), "."))
+def candidate_keys(host: Column, path: Column, lengths: list[tuple[int, int]]) -> Column:
+    """All keys of a url that a rule could have, longest first: lengths has the lengths of the rules' hosts and paths.
 
+    A host's end of a rule's length counts if it is the host or follows a dot, so
+    the work for a url follows the rules' lengths and not the number of its labels.
+    """
+    order = sorted(lengths, key=lambda x: (-sum(x), -x[0]))
+    pairs = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(p).alias("p")) for h, p in order])
+    n = F.length(host)
 
-def candidate_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
-    """All keys of a url that a rule could have, longest first."""
-    prefixes = F.filter(
-        F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(path_lengths, reverse=True)]),
-        lambda p: p.isNotNull(),
-    )
-    keys = F.flatten(F.transform(host_suffixes(host), lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
-    return F.array_sort(keys, lambda a, b: F.length(b) - F.length(a))
+    def key(pair: Column) -> Column:
+        whole = (n == pair["h"]) | ((n > pair["h"]) & (F.substring(host, n - pair["h"], F.lit(1)) == "."))
+        return F.when(whole & (F.length(path) >= pair["p"]), F.concat(F.right(host, pair["h"]), F.left(path, pair["p"])))
+
+    return F.filter(F.transform(pairs, key), lambda k: k.isNotNull())
 
 
 @dataclass(frozen=True)
@@ -142,10 +142,10 @@ def filter_urls(
     A url that fits none gets `default`, since the cascade lists no key of it.
     """
     spark = pages.sparkSession
-    path_lengths = sorted({len(r) - r.index("/") for r in rules})
+    lengths = sorted({(r.index("/"), len(r) - r.index("/")) for r in rules})
     host, path = url_parts(F.col(url_col))
     judged = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    keyed = judged.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), path_lengths) if rules else F.array().cast("array<string>"))
+    keyed = judged.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), lengths) if rules else F.array().cast("array<string>"))
     universe = keyed.select(F.explode("_keys").alias("key")).distinct()
     verdicts = {v: spark.createDataFrame([(r,) for r, x in rules.items() if x == v], "key string") for v in sorted(set(rules.values()))}
     known = materialize(universe, "url-universe")

@@ -393,7 +393,7 @@ def test_url_filter(spark):
     urls = [
         None, "", "nothing", "http://net/", "http://net", "HTTP://A.Example.NET/en/x?y#z", "x://a.net/en/", "http://b.example.net/de/", "http://www.example.com/de/1",
         "http://example.com/de", "http://example.com/en/", "http://a.org/fr/2", "http://notnet/", "http://xnet/", "http://a.bnet/", "http://a?://b/c", "http://É.net/Q", "http://.net/", "a://b://c.net/",
-        "http://example.net/en/\nx", "http://x.net?/", "http://x.net#/",
+        "http://example.net/en/\nx", "http://x.net?/", "http://x.net#/", "http://" + "a." * 20_000 + "net/", "http://" + "a." * 20_000 + "com/",
     ] * 2
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, html string, rule string")
     got = {r["page_id"]: r for r in url_filter.filter_urls(pages, rules).collect()}
