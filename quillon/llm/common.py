@@ -6,6 +6,7 @@ import string
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The white space that separates words, and the pattern of a word.
@@ -14,10 +15,26 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 32 << 20
 
 
+#: Rows of an Arrow batch at most; whole texts are long.
+BATCH_ROWS = 2000
+# Memory that Arrow frees goes back to the system, since workers live on from stage to stage.
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have BATCH_ROWS rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset, as in tests on one machine."""
+    bounded_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window
 
+from quillon.llm.common import bounded_batches
+
 #: Language codes by family.
 FAMILIES = {
     "germanic": ["en", "de", "nl", "af", "da", "sv", "no", "nb", "nn", "is"],
@@ -180,6 +182,7 @@ def learn_languages(
 
 def _judge(docs: DataFrame, model: LanguageModel):
     """A function from texts to (lang, score), in one pass over the texts and without a shuffle."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x machines at most
 
     @F.pandas_udf("lang string, score double")
