@@ -6,11 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-#: The identifier's format, and words that mean true and false.
+#: The identifier's format, words that mean true and false, ranks of levels.
 IDENTIFIER = r"^\d{2,7}-\d{2}-\d$"
-TRUE_WORDS = ["1", "true", "yes", "y", "t", "responsive", "response", "active", "positive"]
-FALSE_WORDS = ["0", "false", "no", "n", "f", "nonresponsive", "non-responsive", "no response", "inactive", "negative"]
-LEVELS = {"high": 3, "medium": 2, "moderate": 2, "low": 1}
+TRUE_WORDS = ["1", "1.0", "true", "responsive", "yes", "active"]
+FALSE_WORDS = ["0", "0.0", "false", "nonresponsive", "non-responsive", "no", "inactive"]
+LEVELS = {"high": 3, "medium": 2, "low": 1}
+#: A path with something below it, a cell that begins with a path, a credential.
+ABSOLUTE_PATH = r"(?:[A-Za-z]:\\[A-Z]|/(?:home|Users|mnt|private|var)/[A-Za-z0-9])"
+LOCAL_CELL = r"^(?:[A-Za-z]:\\|/home/)"
+CREDENTIAL = r"(?i)(?:api[_-]?key|secret|token|password)\s*[:=]\s*['\"]?[A-Za-z0-9_\-]{12,}"
 
 
 def clean_text(x: Column) -> Column:
@@ -212,15 +216,15 @@ def sorted_set(x: Column, sep: str = ";") -> Column:
 
 
 def local_path(x: Column) -> Column:
-    """Whether the text looks like a path on somebody's machine."""
-    return F.coalesce(x, F.lit("")).rlike(r"(^|[\s\"'=(])(/home/|/Users/|/root/|/mnt/|/scratch/|[A-Za-z]:\\)")
+    """Whether the text begins with a path on somebody's machine."""
+    return F.coalesce(x, F.lit("")).rlike(LOCAL_CELL)
 
 
 def text_issues(x: Column) -> Column:
     """Names of what a text should not hold, joined by "; "."""
     flags = {
-        "absolute_path": local_path(x),
-        "credential": x.rlike(r"(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*\S+"),
+        "absolute_path": x.rlike(ABSOLUTE_PATH),
+        "credential": x.rlike(CREDENTIAL),
         "nul_byte": x.contains("\0"),
     }
     return F.array_join(F.array_compact(F.array(*[F.when(f, n) for n, f in flags.items()])), "; ")

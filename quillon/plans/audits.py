@@ -81,7 +81,7 @@ def s13_unique_matches(t):
 # Projections and filters --------------------------------------------------------
 
 
-@query("""SELECT conv_id, turn, role AS speaker, CASE WHEN regexp_matches(coalesce(text, ''), '(^|[\\s"''=(])(/home/|/Users/|/root/|/mnt/|/scratch/|[A-Za-z]:\\\\)') THEN '' ELSE text END AS text FROM conversations""")
+@query("""SELECT conv_id, turn, role AS speaker, CASE WHEN regexp_matches(coalesce(text, ''), '^(?:[A-Za-z]:\\\\|/home/)') THEN '' ELSE text END AS text FROM conversations""")
 def p1_p6_p7_portable_columns(t):
     named = T.normalize_columns(t.conversations.withColumnsRenamed({"conv_id": " Conv ID", "role": "Role "}))
     return A.blank_local_paths(named.withColumnRenamed("role", "speaker"))

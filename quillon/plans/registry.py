@@ -100,8 +100,9 @@ def p8_redact(t):
     return T.redact(t.documents.select("doc_id", "text"), r"[\w.+-]+@[\w-]+\.[\w.]+", "[mail]")
 
 
-@query(r"""SELECT doc_id, concat_ws('; ', CASE WHEN regexp_matches(text, '(^|[\s"''=(])(/home/|/Users/|/root/|/mnt/|/scratch/|[A-Za-z]:\\)') THEN 'absolute_path' END,
-  CASE WHEN regexp_matches(text, '(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*\S+') THEN 'credential' END) AS issues FROM documents""")
+@query(r"""SELECT doc_id, concat_ws('; ', CASE WHEN regexp_matches(text, '(?:[A-Za-z]:\\[A-Z]|/(?:home|Users|mnt|private|var)/[A-Za-z0-9])') THEN 'absolute_path' END,
+  CASE WHEN regexp_matches(text, '(?i)(?:api[_-]?key|secret|token|password)\s*[:=]\s*[''"]?[A-Za-z0-9_\-]{12,}') THEN 'credential' END,
+  CASE WHEN contains(text, chr(0)) THEN 'nul_byte' END) AS issues FROM documents""")
 def p9_policy_scan(t):
     return t.documents.select("doc_id", S.text_issues(F.col("text")).alias("issues"))
 

@@ -37,6 +37,11 @@ def test_label_scores(spark):
 
 def test_numbers_and_words(spark):
     assert values(spark, ["1", "NaN", "x", "", None, " 2.5 "], S.safe_double) == [1.0, None, None, None, None, 2.5]
+    # Words that only look like answers are neither.
+    words = ["y", "t", "response", "positive", "n", "f", "no response", "negative", "moderate", "nd", "N/A", "untested"]
+    assert values(spark, words, S.parse_response) == [None] * len(words)
+    assert values(spark, ["Active ", "NON-responsive", "inactive", "1.00", "0e0"], S.parse_response) == [True, False, False, True, False]
+    assert values(spark, ["High", " medium", "low", "moderate", "", None], S.level_rank) == [3, 2, 1, 0, 0, 0]
     assert values(spark, ["Yes", "0.0", "1", "no", "2", "", None], S.parse_response) == [True, False, True, False, None, None, None]
     assert values(spark, [1.0, float("inf"), float("nan"), None], S.finite, "double") == [1.0, None, None, None]
     assert values(spark, ["combo12", "combo", "x12", None], lambda x: S.trailing_number(x, "combo")) == [12, None, None, None]
