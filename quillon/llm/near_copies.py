@@ -7,10 +7,12 @@ agree on all minima of a band share a bucket, and a pair of similarity s shares
 one of b buckets of r minima with probability 1 - (1 - s^r)^b, which is 0.999997
 at 0.8 with 24 bands of 4. Each member of a bucket is first compared with the
 bucket's least one alone, so a group of copies gives a star and never all pairs.
-Members that fail this test are compared with the others of their bucket, which
-is split by its members' next bands if it has over `pair_limit`; of what is still
-larger they are compared with the least one. Every candidate is checked on the
-whole shingle sets.
+The links found so far give components; members of a bucket that lie in different
+ones are then compared with each other. A bucket of over `pair_limit` such
+members is split by its members' later bands first, which loses a pair at 0.8
+that shares no other band with a probability of 5 in 100,000; what is still
+larger is compared exactly: all who lie outside the bucket's main component with
+all of its other members. Every candidate is checked on the whole shingle sets.
 
 Defined results: a text without words is no copy of anything; one with fewer
 words than a shingle has its whole sequence as the only shingle; rows equal in
@@ -29,8 +31,8 @@ from pyspark.sql import DataFrame, functions as F
 from quillon.llm.common import materialize, maybe_broadcast, text_or_empty
 from quillon.llm.simhash import bits_of, connected_components, near_edges, shingle_hashes
 
-#: Bands beside its own that split a large bucket.
-SPLIT_BANDS = 3
+#: Parts into which the rows of a large bucket are dealt.
+PARTS = 16
 #: Documents whose shingles are held at once.
 SLICE_ROWS = 256
 
@@ -103,23 +105,32 @@ def _tree_pairs(sketches: DataFrame, radius: int) -> DataFrame:
     return equal.unionByName(edges.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
 
-def _pairs_with_failed(members: DataFrame, sketches: DataFrame, pair_limit: int, split: bool = True) -> DataFrame:
-    """Pairs (a, b) of a failed member and another one of its bucket (columns key, node, failed)."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.max("failed").alias("some"))
-    sizes = materialize(sizes.filter("n > 1 and some").select("key", "n", "least"), "near-sizes")
+def _pairs_across(members: DataFrame, sketches: DataFrame, pair_limit: int, split: bool = True) -> DataFrame:
+    """Pairs (a, b) of members of a bucket (columns key, node, component) that lie in different components."""
+    each = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = each.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    sizes = materialize(sizes.filter("kinds > 1").select("key", "n", "main"), "near-sizes")
     known = members.join(maybe_broadcast(sizes, 40), "key")
-    lists = known.filter(F.col("n") <= pair_limit).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "failed"))).alias("m"))
-    every = "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> x.failed or y.failed), y -> struct(y.node AS a, x.node AS b))))"
+    lists = known.filter(F.col("n") <= pair_limit).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "component"))).alias("m"))
+    every = "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> x.component <> y.component), y -> struct(y.node AS a, x.node AS b))))"
     pairs = lists.select(F.explode(F.expr(every)).alias("p")).select("p.*")
     large = known.filter(F.col("n") > pair_limit)
-    if not split:
-        return pairs.unionByName(large.filter("failed").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    # A large bucket is split by bands that follow its own.
-    at = F.array_position("keys", F.col("key")).cast("int") - 1
-    others = F.transform(F.sequence(F.lit(1), F.lit(SPLIT_BANDS)), lambda i: F.get("keys", F.pmod(at + i, F.size("keys"))))
-    again = large.select("node", "key", "failed").join(sketches.select("node", "keys"), "node").select("node", "failed", "key", F.explode(others).alias("k"))
-    again = again.select("node", "failed", F.xxhash64("key", "k").alias("key"))
-    return pairs.unionByName(_pairs_with_failed(materialize(again, "near-split"), sketches, pair_limit, split=False))
+    if split:
+        at = F.array_position("keys", F.col("key")).cast("int")
+        later = F.slice("keys", at + 1, F.size("keys"))
+        again = large.select("node", "key", "component").join(sketches.select("node", "keys"), "node").select("node", "component", "key", F.explode(later).alias("k"))
+        again = again.select("node", "component", F.xxhash64("key", "k").alias("key"))
+        return pairs.unionByName(_pairs_across(materialize(again, "near-split"), sketches, pair_limit, split=False))
+    part = F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")
+    outside = large.filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("own"), part.alias("part"))
+    others = large.select("key", F.col("node").alias("b"), "component", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    return pairs.unionByName(outside.join(others, ["key", "part"]).filter("own <> component").select("a", "b"))
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """node and component of every node of edges."""
+    found = connected_components(edges)  # every node but a component's own least one
+    return materialize(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "near-components")
 
 
 def near_copies_dedup(
@@ -139,17 +150,12 @@ def near_copies_dedup(
     asked = texts.join(maybe_broadcast(materialize(asked, "near-asked"), 16), "node", "left_semi")
     sets = materialize(_sets(asked, width, seed).dropDuplicates(["node"]), "near-sets")
     edges = materialize(_similar(pairs, sets, least), "near-edges")
-    # Members of a bucket whose least one is not like them.
-    failed = pairs.join(maybe_broadcast(edges, 24), ["a", "b"], "left_anti")
-    failed = stars.filter("node <> least").join(maybe_broadcast(materialize(failed, "near-failed"), 24).withColumnsRenamed({"a": "node", "b": "least"}), ["node", "least"], "left_semi")
-    failed = materialize(failed.select("key", "node"), "near-failed-members")
-    if not failed.isEmpty():
-        members = stars.join(maybe_broadcast(failed.select("key").distinct(), 16), "key", "left_semi").select("key", "node")
-        members = members.join(failed.withColumn("failed", F.lit(True)), ["key", "node"], "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
-        more = _ordered(_pairs_with_failed(materialize(members, "near-members"), sketches, pair_limit)).join(pairs, ["a", "b"], "left_anti")
-        edges = edges.unionByName(_similar(more, sets, least))
-    found = connected_components(edges)  # every node but a component's own least one
-    members = materialize(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "near-components")
+    # Members of a bucket that these links don't connect.
+    found = _components(edges)
+    placed = stars.join(maybe_broadcast(found, 16), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    more = _ordered(_pairs_across(materialize(placed, "near-placed"), sketches, pair_limit)).join(pairs, ["a", "b"], "left_anti")
+    more = materialize(_similar(more, sets, least), "near-more")
+    members = found if more.isEmpty() else _components(edges.unionByName(more))
     named = texts.select("node", "_id").join(maybe_broadcast(members, 16), "node").distinct()
     place = F.struct(F.col("_id").isNull().alias("last"), "_id", "node")
     named = materialize(named.select("component", place.alias("place")), "near-named")

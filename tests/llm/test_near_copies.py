@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from quillon.llm.near_copies import near_copies_dedup
+from quillon.llm.near_copies import _pairs_across, near_copies_dedup
 
 
 def shingles(text):
@@ -81,3 +81,17 @@ def test_null_and_repeated_ids(spark, edge_docs, no_docs):
     assert sorted((r["doc_id"], r["text"] is None) for r in found) == [(4, False), (5, True)]
     assert near_copies_dedup(no_docs).count() == 0
     assert near_copies_dedup(edge_docs).columns == edge_docs.columns
+
+
+@pytest.mark.parametrize("limit", [2, 8, 100])
+def test_large_buckets_lose_no_pair(spark, limit):
+    """Members of different components meet if they share two bands, however large their buckets are."""
+    rng = random.Random(5)
+    keys = {node: [0, *(10 * band + rng.randrange(2) for band in range(1, 4))] for node in range(40)}
+    component = {node: node if node % 3 else 0 for node in keys}
+    sketches = spark.createDataFrame(list(keys.items()), "node long, keys array<long>")
+    members = spark.createDataFrame([(k, n, component[n]) for n, ks in keys.items() for k in ks], "key long, node long, component long")
+    found = {(max(r), min(r)) for r in _pairs_across(members, sketches, limit).collect()}
+    apart = {(a, b) for a in keys for b in keys if b < a and component[a] != component[b]}
+    assert {p for p in apart if len(set(keys[p[0]]) & set(keys[p[1]])) > 1} <= found <= apart
+    assert limit < 100 or found == apart
