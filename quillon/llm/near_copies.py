@@ -9,10 +9,11 @@ at 0.8 with 24 bands of 4. Each member of a bucket is first compared with the
 bucket's least one alone, so a group of copies gives a star and never all pairs.
 The links found so far give components; members of a bucket that lie in different
 ones are then compared with each other. A bucket of over `pair_limit` such
-members is split by its members' later bands first, which loses a pair at 0.8
-that shares no other band with a probability of 5 in 100,000; what is still
-larger is compared exactly: all who lie outside the bucket's main component with
-all of its other members. Every candidate is checked on the whole shingle sets.
+members is split first, by shingles: ordered by how few of these documents have
+them, similar sets share one of their first n - ceil(0.8 n) + 1, so documents
+that share a passage and no more fall apart and no pair is lost. What is still
+larger is compared whole: all who lie outside the bucket's main component with
+its other members. Every candidate is checked on the whole shingle sets.
 
 Defined results: a text without words is no copy of anything; one with fewer
 words than a shingle has its whole sequence as the only shingle; rows equal in
@@ -105,7 +106,7 @@ def _tree_pairs(sketches: DataFrame, radius: int) -> DataFrame:
     return equal.unionByName(edges.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
 
-def _pairs_across(members: DataFrame, sketches: DataFrame, pair_limit: int, split: bool = True) -> DataFrame:
+def _pairs_across(members: DataFrame, sets: DataFrame, least: float, pair_limit: int, split: bool = True) -> DataFrame:
     """Pairs (a, b) of members of a bucket (columns key, node, component) that lie in different components."""
     each = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = each.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("main"))
@@ -116,11 +117,14 @@ def _pairs_across(members: DataFrame, sketches: DataFrame, pair_limit: int, spli
     pairs = lists.select(F.explode(F.expr(every)).alias("p")).select("p.*")
     large = known.filter(F.col("n") > pair_limit)
     if split:
-        at = F.array_position("keys", F.col("key")).cast("int")
-        later = F.slice("keys", at + 1, F.size("keys"))
-        again = large.select("node", "key", "component").join(sketches.select("node", "keys"), "node").select("node", "component", "key", F.explode(later).alias("k"))
-        again = again.select("node", "component", F.xxhash64("key", "k").alias("key"))
-        return pairs.unionByName(_pairs_across(materialize(again, "near-split"), sketches, pair_limit, split=False))
+        each = large.select("node", "component").distinct().join(sets, "node").select("node", "component", F.explode("s").alias("item"))
+        each = materialize(each, "near-items")
+        shared = each.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+        ordered = each.join(shared, "item").groupBy("node", "component").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("o"))
+        n = F.size("o")
+        first = F.slice("o", F.lit(1), (n - F.ceil(n * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))
+        again = ordered.select("node", "component", F.explode(F.filter(first, lambda o: o["n"] > 1)).alias("o")).select("node", "component", F.col("o.item").alias("key"))
+        return pairs.unionByName(_pairs_across(materialize(again, "near-split"), sets, least, pair_limit, split=False))
     part = F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")
     outside = large.filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("own"), part.alias("part"))
     others = large.select("key", F.col("node").alias("b"), "component", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
@@ -153,7 +157,7 @@ def near_copies_dedup(
     # Members of a bucket that these links don't connect.
     found = _components(edges)
     placed = stars.join(maybe_broadcast(found, 16), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    more = _ordered(_pairs_across(materialize(placed, "near-placed"), sketches, pair_limit)).join(pairs, ["a", "b"], "left_anti")
+    more = _ordered(_pairs_across(materialize(placed, "near-placed"), sets, least, pair_limit)).join(pairs, ["a", "b"], "left_anti")
     more = materialize(_similar(more, sets, least), "near-more")
     members = found if more.isEmpty() else _components(edges.unionByName(more))
     named = texts.select("node", "_id").join(maybe_broadcast(members, 16), "node").distinct()
