@@ -107,6 +107,17 @@ def pairs_in_groups(df: DataFrame, group: Sequence[str], id_col: str, carry: Seq
     return side("a").join(side("b"), list(group)).filter("a < b")
 
 
+def pairs_with_asked(df: DataFrame, asked: Column | str, group: Sequence[str], id_col: str, carry: Sequence[str] = (), parts: int = 32) -> DataFrame:
+    """Each row that the condition `asked` names (a) with every other row of its group (b), for groups of any size.
+
+    The rows of a group are dealt to `parts` tasks and the asked ones, which should be few, go to each of them.
+    """
+    side = lambda rows, s, part: rows.select(*group, F.col(id_col).alias(s), *[F.col(c).alias(f"{c}_{s}") for c in carry], part.alias("_part"))
+    queries = side(df.filter(asked), "a", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = side(df, "b", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int"))
+    return queries.join(rows, [*group, "_part"]).filter("a <> b").drop("_part")
+
+
 def cell_diff(left: DataFrame, right: DataFrame, key: str, absent: str = "<absent>") -> DataFrame:
     """row, col, left and right of each cell that differs; numbers without a fraction read as integers, trailing blanks don't count."""
 

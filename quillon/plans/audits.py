@@ -314,41 +314,41 @@ def f1_f8_f10_clean_fields(t):
     return t.documents.select("doc_id", S.clean_text(F.col("text")).alias("clean"), S.presence_score(F.col("lang"), F.col("source")).alias("score"), language.alias("language"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS number, CASE WHEN value > 0 THEN round(1 / value, 6) END AS inverse,
- CASE event_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'middle' WHEN 2 THEN 'high' END AS level, user_id AS rater FROM events WHERE value IS NOT NULL AND value >= 0""")
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS number, CASE WHEN value <> 0 THEN round(1 / value, 6) END AS inverse,
+ CASE event_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'middle' WHEN 2 THEN 'high' END AS level, user_id AS rater FROM events""")
 def f5_f28_f29_f31_numbers(t):
     text = F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.col("value").cast("string"))
     inverse = S.finite(F.when(F.col("value") == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1.0), "value")))
     level = S.code_name(F.col("event_id") % 4, {0: "low", 1: "middle", 2: "high"})
     rater = F.regexp_replace(F.concat("user_id", F.lit("_score")), "_score$", "").cast("long")
-    return t.events.filter("value >= 0").select("event_id", S.safe_double(text).alias("number"), r(inverse, "inverse"), level.alias("level"), rater.alias("rater"))
+    return t.events.select("event_id", S.safe_double(text).alias("number"), r(inverse, "inverse"), level.alias("level"), rater.alias("rater"))
 
 
 @query("""WITH s AS (SELECT user_id, list_distinct(list(event_type) FILTER (value > 100)) AS derived, list_distinct(list(event_type)) AS source FROM events GROUP BY 1),
  x AS (SELECT user_id, CASE WHEN len(derived) > 0 THEN derived ELSE source END AS x FROM s)
 SELECT a.user_id AS a, b.user_id AS b, round(len(list_intersect(a.x, b.x)) / nullif(len(list_distinct(list_concat(a.x, b.x))), 0), 6) AS similarity
-FROM x a JOIN x b ON a.user_id < b.user_id AND a.user_id // 10 = b.user_id // 10""")
+FROM x a JOIN x b ON a.user_id % 50 = 0 AND a.user_id <> b.user_id""")
 def f13_derived_or_source(t):
     sets = t.events.groupBy("user_id").agg(F.collect_set(F.when(F.col("value") > 100, F.col("event_type"))).alias("d"), F.collect_set("event_type").alias("s"))
-    sets = sets.select("user_id", S.derived_or_source(F.col("d"), F.col("s")).alias("x"), F.expr("user_id div 10").alias("g"))
-    return T.pairs_in_groups(sets, ["g"], "user_id", ["x"]).select("a", "b", r(S.jaccard(F.col("x_a"), F.col("x_b")), "similarity"))
+    sets = sets.select("user_id", S.derived_or_source(F.col("d"), F.col("s")).alias("x"))
+    return T.pairs_with_asked(sets, "user_id % 50 = 0", [], "user_id", ["x"]).select("a", "b", r(S.jaccard(F.col("x_a"), F.col("x_b")), "similarity"))
 
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b, round(bit_count(a.p_partkey & b.p_partkey) / nullif(bit_count(a.p_partkey | b.p_partkey), 0), 6) AS similarity
-FROM part a JOIN part b ON a.p_partkey // 8 = b.p_partkey // 8 AND a.p_partkey < b.p_partkey""")
+FROM part a JOIN part b ON a.p_partkey % 50 = 0 AND a.p_partkey <> b.p_partkey""")
 def f14_tanimoto(t):
-    rows = t.part.select("p_partkey", F.array(F.col("p_partkey")).alias("w"), F.expr("p_partkey div 8").alias("g"))
-    return T.pairs_in_groups(rows, ["g"], "p_partkey", ["w"]).select("a", "b", r(S.tanimoto_bits(F.col("w_a"), F.col("w_b")), "similarity"))
+    rows = t.part.select("p_partkey", F.array(F.col("p_partkey")).alias("w"))
+    return T.pairs_with_asked(rows, "p_partkey % 50 = 0", [], "p_partkey", ["w"]).select("a", "b", r(S.tanimoto_bits(F.col("w_a"), F.col("w_b")), "similarity"))
 
 
-@query("""WITH p AS (SELECT vec_id, embedding[1:3]::DOUBLE[] AS u, embedding[4:6]::DOUBLE[] AS v, label, vec_id // 50 AS g FROM embeddings)
+@query("""WITH p AS (SELECT vec_id, embedding[1:3]::DOUBLE[] AS u, embedding[4:6]::DOUBLE[] AS v, label FROM embeddings)
 SELECT a.vec_id AS a, b.vec_id AS b, round(least(sqrt((list_distance(a.u, b.u) ** 2 + list_distance(a.v, b.v) ** 2) / 2), sqrt((list_distance(a.u, b.v) ** 2 + list_distance(a.v, b.u) ** 2) / 2)), 6) AS rmsd
-FROM p a JOIN p b ON a.label = b.label AND a.g = b.g AND a.vec_id < b.vec_id""")
+FROM p a JOIN p b ON a.label = b.label AND a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id""")
 def f18_fixed_frame_rmsd(t):
     point = lambda at: F.struct(*[F.get("embedding", at + i).cast("double").alias(c) for i, c in enumerate("xyz")])
-    rows = t.embeddings.select("vec_id", "label", F.expr("vec_id div 50").alias("g"), F.array(point(0), point(3)).alias("p"))
+    rows = t.embeddings.select("vec_id", "label", F.array(point(0), point(3)).alias("p"))
     perms = F.array(F.array(F.lit(0), F.lit(1)), F.array(F.lit(1), F.lit(0)))
-    pairs = T.pairs_in_groups(rows, ["label", "g"], "vec_id", ["p"])
+    pairs = T.pairs_with_asked(rows, "vec_id % 50 = 0", ["label"], "vec_id", ["p"])
     return pairs.select("a", "b", r(S.fixed_frame_rmsd(F.col("p_a"), F.col("p_b"), perms), "rmsd"))
 
 
@@ -382,12 +382,12 @@ def f21_feature_parts(t):
 
 @query(f"""WITH {_FEATURES}, s AS (SELECT l_orderkey AS k, coalesce(list_distinct(list(rest) FILTER (kind IN ('hbond', 'pi'))), []) AS x, count(*) FILTER (kind = 'salt') AS salts FROM f GROUP BY 1)
 SELECT a.k AS a, b.k AS b, round(coalesce(len(list_intersect(a.x, b.x)) / nullif(len(list_distinct(list_concat(a.x, b.x))), 0), 1.0), 6) AS similarity,
- CASE WHEN a.salts + b.salts = 0 THEN 'PARTIAL_SALT' ELSE 'COMPLETE' END AS status FROM s a JOIN s b ON a.k < b.k AND a.k // 8 = b.k // 8""")
+ CASE WHEN a.salts + b.salts = 0 THEN 'PARTIAL_SALT' ELSE 'COMPLETE' END AS status FROM s a JOIN s b ON a.k % 50 = 0 AND a.k <> b.k WHERE similarity >= 0.5""")
 def f22_f23_typed_similarity(t):
     sets = _features(t).groupBy("l_orderkey").agg(F.collect_set("feature").alias("x"), F.count_if(F.col("feature").startswith("salt")).alias("n"))
-    pairs = T.pairs_in_groups(sets.withColumn("g", F.expr("l_orderkey div 8")), ["g"], "l_orderkey", ["x", "n"])
+    pairs = T.pairs_with_asked(sets, "l_orderkey % 50 = 0", [], "l_orderkey", ["x", "n"])
     status = S.partial_status("COMPLETE", salt=F.col("n_a") + F.col("n_b") == 0)
-    return pairs.select("a", "b", r(S.typed_jaccard(F.col("x_a"), F.col("x_b"), ["hbond", "pi"]), "similarity"), status.alias("status"))
+    return pairs.select("a", "b", r(S.typed_jaccard(F.col("x_a"), F.col("x_b"), ["hbond", "pi"]), "similarity"), status.alias("status")).filter("similarity >= 0.5")
 
 
 # Features and splits --------------------------------------------------------------------

@@ -149,13 +149,13 @@ def j4_anti_join(t):
     return t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
-_PAIRS = """WITH pr AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_orderkey % 50 < 25),
+_PAIRS = """WITH pr AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem),
  d AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_size > 10)"""
 
 
 def _part_pairs(t):
-    a, b = F.least("l_partkey", "l_suppkey"), F.greatest("l_partkey", "l_suppkey")
-    return t.lineitem.filter("l_orderkey % 50 < 25").select(a.alias("a"), b.alias("b")).distinct(), t.part.filter("p_size > 10").select("p_partkey", "p_size")
+    pairs = t.lineitem.select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()
+    return pairs, t.part.filter("p_size > 10").select("p_partkey", "p_size")
 
 
 @query(_PAIRS + " SELECT a, b, x.v AS p_size_a, y.v AS p_size_b FROM pr JOIN d x ON x.k = a JOIN d y ON y.k = b")
@@ -169,24 +169,15 @@ def j6_pairs_with_reasons(t):
     return T.pair_lookup_with_reasons(*_part_pairs(t), "p_partkey", "p_size").select("a", "b", "reason")
 
 
-_ALL_PAIRS = """WITH pr AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem),
- d AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_size > 10)"""
-
-
-def _all_part_pairs(t):
-    pairs = t.lineitem.select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()
-    return pairs, t.part.filter("p_size > 10").select("p_partkey", "p_size")
-
-
-@query(_ALL_PAIRS + " SELECT a, b, x.v AS p_size_a, y.v AS p_size_b FROM pr JOIN d x ON x.k = a JOIN d y ON y.k = b")
+@query(_PAIRS + " SELECT a, b, x.v AS p_size_a, y.v AS p_size_b FROM pr JOIN d x ON x.k = a JOIN d y ON y.k = b")
 def j5_pair_lookup_all(t):
-    return T.pair_lookup(*_all_part_pairs(t), "p_partkey", "p_size").select("a", "b", "p_size_a", "p_size_b")
+    return T.pair_lookup(*_part_pairs(t), "p_partkey", "p_size").select("a", "b", "p_size_a", "p_size_b")
 
 
-@query(_ALL_PAIRS + """ SELECT a, b, concat_ws(';', CASE WHEN x.v IS NULL THEN 'missing_a' END, CASE WHEN y.v IS NULL THEN 'missing_b' END) AS reason
+@query(_PAIRS + """ SELECT a, b, concat_ws(';', CASE WHEN x.v IS NULL THEN 'missing_a' END, CASE WHEN y.v IS NULL THEN 'missing_b' END) AS reason
 FROM pr LEFT JOIN d x ON x.k = a LEFT JOIN d y ON y.k = b""")
 def j6_pairs_with_reasons_all(t):
-    return T.pair_lookup_with_reasons(*_all_part_pairs(t), "p_partkey", "p_size").select("a", "b", "reason")
+    return T.pair_lookup_with_reasons(*_part_pairs(t), "p_partkey", "p_size").select("a", "b", "reason")
 
 
 @query("""SELECT x.l_orderkey, x.l_linenumber AS a, y.l_linenumber AS b, count(*) AS n FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber GROUP BY 1, 2, 3""")
@@ -542,19 +533,19 @@ def f7_f9_f11_f30_words_and_keys(t):
 
 @query("""WITH s AS (SELECT user_id, list_distinct(list(CAST(floor(value) AS INT) % 12)) AS x FROM events WHERE value > 20 GROUP BY 1)
 SELECT a.user_id AS a, b.user_id AS b, round(len(list_intersect(a.x, b.x)) / nullif(len(list_distinct(list_concat(a.x, b.x))), 0), 6) AS similarity
-FROM s a JOIN s b ON a.user_id < b.user_id AND a.user_id // 10 = b.user_id // 10""")
+FROM s a JOIN s b ON a.user_id % 50 = 0 AND a.user_id <> b.user_id""")
 def f12_jaccard(t):
-    sets = t.events.filter("value > 20").groupBy("user_id").agg(F.collect_set((F.floor("value").cast("int") % 12)).alias("x")).withColumn("g", F.expr("user_id div 10"))
-    pairs = T.pairs_in_groups(sets, ["g"], "user_id", ["x"])
+    sets = t.events.filter("value > 20").groupBy("user_id").agg(F.collect_set((F.floor("value").cast("int") % 12)).alias("x"))
+    pairs = T.pairs_with_asked(sets, "user_id % 50 = 0", [], "user_id", ["x"])
     return pairs.select("a", "b", r(S.jaccard(F.col("x_a"), F.col("x_b")), "similarity"))
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance,
  CASE WHEN round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) <= 1.0 THEN 'near' WHEN round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) <= 1.3 THEN 'middle' ELSE 'far' END AS class
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 50 = b.vec_id // 50 AND a.vec_id < b.vec_id""")
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id""")
 def f15_f17_m13_distances(t):
-    v = t.embeddings.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"), F.expr("vec_id div 50").alias("g"))
-    pairs = T.pairs_in_groups(v, ["label", "g"], "vec_id", ["v"]).withColumn("distance", r(S.euclidean(F.col("v_a"), F.col("v_b"))))
+    v = t.embeddings.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    pairs = T.pairs_with_asked(v, "vec_id % 50 = 0", ["label"], "vec_id", ["v"]).withColumn("distance", r(S.euclidean(F.col("v_a"), F.col("v_b"))))
     return pairs.select("a", "b", "distance", S.class_by_thresholds(F.col("distance"), {"near": 1.0, "middle": 1.3}, "far").alias("class"))
 
 
@@ -620,10 +611,9 @@ def m11_split_audit(t):
 
 @query("SELECT label AS g, count(*) AS n, count(DISTINCT vec_id) AS n_ids FROM embeddings GROUP BY 1")
 def m14_average_linkage_groups(t):
-    v = t.embeddings.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"), F.expr("label * 1000000 + vec_id div 300").alias("g"))
+    v = t.embeddings.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"), F.col("label").alias("g"))
     made = M.average_linkage(v, "g", "vec_id", "v", [0.8, 1.1])
-    labels = made.filter("cutoff = 0.8").withColumn("g", F.expr("g div 1000000").cast("int"))
-    return labels.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("n_ids"))
+    return made.filter("cutoff = 0.8").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("n_ids"))
 
 
 #: Distinct words of every text, the least document with the same words, and pairs of such documents that are alike.
@@ -701,13 +691,13 @@ def d8_shared_keys(t):
     return P.shared_keys(keys.join(_stratified(t), "id"), "text_key")
 
 
-@query("""WITH f AS (SELECT l_returnflag AS model, l_linestatus AS representation, l_linenumber AS k, round(avg(l_discount), 6) AS v FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1, 2, 3)
+@query("""WITH f AS (SELECT l_returnflag AS model, l_linestatus AS representation, l_linenumber % 5 + 1 AS k, round(avg(l_discount), 6) AS v FROM lineitem GROUP BY 1, 2, 3)
 SELECT model, representation, round(avg(v), 5) AS mean, round(avg(v), 6) AS mean_computed, round(stddev_pop(v), 6) AS std, abs(round(avg(v), 5) - avg(v)) < 1e-6 AS agrees, max(v) FILTER (k = 1) AS fold_1, max(v) FILTER (k = 2) AS fold_2,
  max(v) FILTER (k = 3) AS fold_3, max(v) FILTER (k = 4) AS fold_4, max(v) FILTER (k = 5) AS fold_5 FROM f GROUP BY 1, 2""")
 def d10_metric_documents(t):
     keys = [F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("representation")]
-    each = t.lineitem.filter("l_linenumber <= 5").groupBy(*keys, "l_linenumber").agg(r(F.avg("l_discount"), "v"))  # five folds
-    folds = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "v"))), lambda s: s["v"])
+    each = t.lineitem.groupBy(*keys, (F.col("l_linenumber") % 5 + 1).alias("fold")).agg(r(F.avg("l_discount"), "v"))  # five folds
+    folds = F.transform(F.array_sort(F.collect_list(F.struct("fold", "v"))), lambda s: s["v"])
     docs = each.groupBy("model", "representation").agg(F.round(F.avg("v"), 5).alias("mean"), folds.alias("folds"))
     made = P.metric_table(docs.select(F.to_json(F.struct("*")).alias("j")), "j", 5)
     return made.withColumns({c: r(c) for c in ("mean_computed", "std")})
