@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 import tempfile
 import uuid
@@ -21,6 +22,13 @@ BATCH_ROWS = 2000
 pa.set_memory_pool(pa.system_memory_pool())
 
 
+def give_back() -> None:
+    """Let the C library return freed memory to the system, where it can; Python workers live on from stage to stage."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """From now on the session's Arrow batches have BATCH_ROWS rows at most."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillon.llm.common import materialize, maybe_broadcast, text_or_empty
+from quillon.llm.common import give_back, materialize, maybe_broadcast, text_or_empty
 from quillon.llm.simhash import bits_of, connected_components, near_edges, shingle_hashes
 
 #: Parts into which the rows of a large bucket are dealt.
@@ -39,7 +39,9 @@ SLICE_ROWS = 256
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS))
+    for batch in batches:
+        yield from (batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS))
+        give_back()
 
 
 def _shingles(text: str, width: int, seed: int) -> np.ndarray:

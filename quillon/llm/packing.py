@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillon.llm.common import materialize, text_or_empty
+from quillon.llm.common import give_back, materialize, text_or_empty
 from quillon.llm.tokens import encoder, with_end
 
 #: Pieces of a group on average.
@@ -92,6 +92,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int,
                     rows.append((place, start, len(part), zlib.crc32(part), len(ids)))
             place, *columns = np.array(rows, np.int64).reshape(-1, 5).T
             yield pa.record_batch([batch["doc_id"].take(pa.array(place)), *map(pa.array, columns)], [c.split()[0] for c in PIECE.split(", ")])
+            give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text")).mapInArrow(cut, PIECE)
 

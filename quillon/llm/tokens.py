@@ -19,10 +19,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Pieces in a generation of the cache, and bytes of a piece that is kept at most: two generations are about 300 MB at worst.
-CACHE_PIECES, CACHE_BYTES = 400_000, 64
+#: Pieces in a generation of the cache, and bytes of a piece that is kept at most: two generations are about 150 MB at worst.
+CACHE_PIECES, CACHE_BYTES = 200_000, 64
 #: Bytes of text that are cut together, but for a single longer text.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 #: A plain piece: a space or line feed, letters that each stand for themselves, signs that no letter joins.
 _PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]*)")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
