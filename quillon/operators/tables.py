@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -69,11 +70,11 @@ def numbered_ids(df: DataFrame, order: Sequence[Column], pattern: str, name: str
     placed = parts.withColumns({"_part": F.shiftright(at, 33), "_pos": at.bitwiseAND(F.lit((1 << 33) - 1))})
     placed = shared_table(placed)
     counts = sorted(placed.groupBy("_part").count().collect())
-    before, shift = 0, F.lit(0).cast("long")
-    for part, n in counts:
-        shift = F.when(F.col("_part") == part, F.lit(before)).otherwise(shift)
-        before += n
-    return placed.withColumn(name, F.format_string(pattern, F.col("_pos") + shift + 1)).drop("_part", "_pos")
+    before = accumulate((n for _, n in counts), initial=0)
+    shifts = df.sparkSession.createDataFrame([(part, at) for (part, _), at in zip(counts, before, strict=False)], "_part long, _before long")
+    # One row a partition, so its size is bounded by their number.
+    placed = placed.join(F.broadcast(shifts), "_part")
+    return placed.withColumn(name, F.format_string(pattern, F.col("_pos") + F.col("_before") + 1)).drop("_part", "_pos", "_before")
 
 
 def numeric_order(column: str) -> list[Column]:
