@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillon.operators.tables import SMALL_ROWS
+from quillon.sources.files import shared_table
+
 
 def rating_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Raters, mean, sample deviation, median, maximum, and how often a value above zero was chosen."""
@@ -29,8 +32,9 @@ def cooccurrence(df: DataFrame, entity: str, label: str) -> DataFrame:
     """How many entities have both labels, for every pair of labels of the vocabulary, zeros too."""
     own = df.select(entity, F.col(label).alias("a")).distinct()
     both = own.join(own.withColumnRenamed("a", "b"), entity).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = own.select("a").distinct()  # labels, a bounded set
-    grid = vocabulary.join(F.broadcast(vocabulary.withColumnRenamed("a", "b")), how="cross")
+    vocabulary = shared_table(own.select("a").distinct())
+    other = vocabulary.withColumnRenamed("a", "b")
+    grid = vocabulary.crossJoin(F.broadcast(other) if vocabulary.count() <= SMALL_ROWS else other)
     return grid.join(both, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
