@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -56,13 +57,18 @@ def long_metrics(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, n_rows, n_missing, n_distinct, is_constant of each column, from one pass."""
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for c in columns:
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__m"), F.countDistinct(c).alias(f"{c}__d")]
-    row = df.agg(*aggs)
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col("n_rows"), F.col(f"{c}__m").alias("n_missing"), F.col(f"{c}__d").alias("n_distinct")) for c in columns])
-    return row.select(F.inline(cells)).withColumn("is_constant", F.col("n_distinct") <= 1)
+    """column, n_rows, n_missing, n_distinct, is_constant of each column.
+
+    Every column is scanned alone and its values are counted before they are
+    shuffled; distinct counts side by side would repeat each row for each column.
+    """
+
+    def profile(c: str) -> DataFrame:
+        values = df.select(F.col(c).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        rows, missing = (F.coalesce(F.sum(n), F.lit(0)) for n in (F.col("n"), F.when(F.col("v").isNull(), F.col("n"))))
+        return values.agg(rows.alias("n_rows"), missing.alias("n_missing"), F.count("v").alias("n_distinct")).select(F.lit(c).alias("column"), "*")
+
+    return reduce(DataFrame.unionByName, map(profile, columns)).withColumn("is_constant", F.col("n_distinct") <= 1)
 
 
 def duplicate_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
