@@ -69,9 +69,10 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
 
 
 def row_hash(df: DataFrame, seed: int) -> Column:
-    """64 bits of a hash of all columns; a null differs from every value."""
-    names = [F.col(f"`{c}`") for c in df.columns]
-    return F.xxhash64(F.lit(seed), *names, *[c.isNull() for c in names])
+    """64 bits of a hash of all columns; a null differs from every value, and maps count by their entries as JSON, in order."""
+    has_map = {f.name for f in df.schema if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString()}
+    names = [F.to_json(F.struct(F.col(f"`{c}`"))) if c in has_map else F.col(f"`{c}`") for c in df.columns]
+    return F.xxhash64(F.lit(seed), *names, *[F.col(f"`{c}`").isNull() for c in df.columns])
 
 
 def ascii_lower(text: Column) -> Column:

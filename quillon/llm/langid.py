@@ -4,9 +4,9 @@ A linear support vector machine for each language family tells it from the
 others; within the chosen family, one machine for each pair of languages votes.
 Features are hashed byte n-grams of the whole text in lower case, padded with a
 space, each weighed by its share of the text. The machines are fitted on a
-bounded sample of labelled documents (at most `per_lang` for each language,
-chosen by a hash of the row); prediction reads every text as a whole and looks
-at nothing but the text.
+bounded sample of labelled documents (at most `per_lang` distinct texts for each
+language, chosen by a hash of the text); every language with a label is learned;
+prediction reads every text as a whole and looks at nothing but the text.
 
 Defined results: a text that is null or has no letter is "und" with score 0;
 without any labelled document every text is "und"; a language that is not in
@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window
 
-from quillon.llm.common import bounded_batches
+from quillon.llm.common import bounded_batches, materialize, maybe_broadcast
 
 #: Language codes by family.
 FAMILIES = {
@@ -149,26 +149,20 @@ def training_rows(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 != 1, F.lit(True))
 
 
-def learn_languages(
-    docs: DataFrame, *, per_lang: int = 400, max_langs: int = 60, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
-) -> LanguageModel:
-    """Fit on at most per_lang labelled documents of each language, of the max_langs most frequent ones.
+def learn_languages(docs: DataFrame, *, per_lang: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Fit on at most per_lang distinct labelled texts of each language.
 
-    These are the ones that training_rows leaves; the sample is bounded, and
+    These are ones that training_rows leaves; the sample is bounded, and
     vectors of features are all that comes to the driver.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & training_rows(id_col))
-    counts = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_langs).collect()
-    if not counts:
-        return LanguageModel((), {}, (), np.zeros((DIMS, 0)), np.zeros(0))
+    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), *[F.xxhash64(F.lit(seed), text_col).alias(h) for seed, h in ((11, "_h"), (12, "_h2"))])
     # Of frequent languages a part by hash that holds twice as many is enough to choose from, so no task ranks all of one.
     space = 1 << 30
-    limit = F.lit(0)
-    for r in counts:
-        limit = F.when(F.col(lang_col) == r[lang_col], F.lit(min(space, int(space * (2 * per_lang + 50) / r["count"])))).otherwise(limit)
-    near = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)), F.lit(space)).alias("_h"), limit.alias("_to"))
-    near = near.filter("_h < _to")
-    first = Window.partitionBy("lang").orderBy("_h", F.xxhash64("text"))
+    distinct = known.select("lang", "_h", "_h2").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    limits = materialize(distinct.select("lang", F.least(F.lit(space), F.floor(F.lit(space * (2 * per_lang + 50)) / F.col("n"))).alias("_to")), "languages")
+    near = known.join(maybe_broadcast(limits, 100), "lang").filter(F.pmod("_h", F.lit(space)) < F.col("_to")).dropDuplicates(["lang", "_h", "_h2"])
+    first = Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(space)), "_h", "_h2")
     sample = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_lang).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +171,8 @@ def learn_languages(
             yield pa.record_batch([batch["lang"], pa.array(made, pa.binary())], ["lang", "x"])
 
     rows = sorted(map(tuple, sample.mapInArrow(vectors, "lang string, x binary").collect()))
+    if not rows:
+        return LanguageModel((), {}, (), np.zeros((DIMS, 0)), np.zeros(0))
     return fit(np.stack([np.frombuffer(x, np.float32) for _, x in rows]), [lang for lang, _ in rows])
 
 

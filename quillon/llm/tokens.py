@@ -19,8 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Pieces in a generation of the cache, and bytes of a piece that is kept at most: two generations are about 150 MB at worst.
-CACHE_PIECES, CACHE_BYTES = 200_000, 64
+#: Entries in a generation of a cache, and bytes of a key that is kept at most: two generations of pieces and words are about 60 MB.
+CACHE_PIECES, CACHE_WORDS, CACHE_BYTES = 80_000, 40_000, 64
 #: Bytes of text that are cut together, but for a single longer text.
 SLICE_BYTES = 4 << 20
 #: A plain piece: a space or line feed, letters that each stand for themselves, signs that no letter joins.
@@ -31,19 +31,45 @@ _WHITE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{2
 _ODD = rf"{_WHITE}{_WHITE}|\A{_WHITE}|{_WHITE}\z"
 
 
+class Generations:
+    """A bounded cache: when the younger generation is full the older one goes and the younger takes its place."""
+
+    def __init__(self, entries: int) -> None:
+        self.entries, self.young, self.old = entries, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.young[key] = found
+        return found
+
+    def put(self, key: str, ids: bytes) -> None:
+        if len(key) <= CACHE_BYTES:
+            self.young[key] = ids
+
+    def turn(self) -> None:
+        """Between runs, so that a run's own entries stay."""
+        if len(self.young) > self.entries:
+            self.young, self.old = {}, self.young
+
+
 class PieceEncoder:
-    """Encodes whole texts to ids, little-endian, `width` bytes each."""
+    """Encodes whole texts to ids, little-endian, `width` bytes each.
+
+    Strings of special tokens in a text are ordinary text, as the description of
+    the tokenizer files has it.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.drops_space = not self._encode([" "]).ids
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # A text piece and what the model sees of a word can be the same string, so each has a cache of its own.
+        self.pieces, self.words = Generations(CACHE_PIECES), Generations(CACHE_WORDS)
         self.letters = {ord(c): self._seen(c) for c in map(chr, range(256)) if _PLAIN.fullmatch(c)}
         self.before = {"": "", "\n": "", " ": "" if self.drops_space else self._seen(" a")[:-1]}
         self.feed = b"" if self.drops_space else self._bytes(self._encode(["\n"]).ids)
@@ -61,13 +87,11 @@ class PieceEncoder:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def _word(self, seen: str) -> bytes:
-        """Ids of a word as the model sees it; words share the cache with pieces under a mark that no piece begins with."""
-        key = "\0" + seen
-        ids = self.cache.get(key) or self.older.get(key)
+        """Ids of a word as the model sees it."""
+        ids = self.words.get(seen)
         if ids is None:
             ids = self._bytes([t.id for t in self.tokenizer.model.tokenize(seen)])
-            if len(seen) <= CACHE_BYTES:
-                self.cache[key] = ids
+            self.words.put(seen, ids)
         return ids
 
     def _sign(self, signs: str) -> bytes:
@@ -80,25 +104,22 @@ class PieceEncoder:
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces: plain ones from their word and signs, others through the whole tokenizer."""
-        if len(self.cache) > CACHE_PIECES:
-            self.cache, self.older = {}, self.cache
-        cache, older, out, other = self.cache, self.older, [], []
+        self.pieces.turn()
+        self.words.turn()
+        cache, out, other = self.pieces, [], []
         for i, p in enumerate(pieces):
             ids = cache.get(p)
             if ids is None:
-                ids = older.get(p)
-                if ids is None:
-                    if m := _PLAIN.fullmatch(p):
-                        space, letters, signs = m.groups()
-                        ids = self._word(self.before[space] + letters.translate(self.letters))
-                        if space == "\n":
-                            ids = self.feed + ids
-                        if signs:
-                            ids += self._sign(signs)
-                    else:
-                        other.append(i)
-                if ids is not None and len(p) <= CACHE_BYTES:
-                    cache[p] = ids
+                if m := _PLAIN.fullmatch(p):
+                    space, letters, signs = m.groups()
+                    ids = self._word(self.before[space] + letters.translate(self.letters))
+                    if space == "\n":
+                        ids = self.feed + ids
+                    if signs:
+                        ids += self._sign(signs)
+                    cache.put(p, ids)
+                else:
+                    other.append(i)
             out.append(ids)
         if other:
             found = self._encode([pieces[i] for i in other])
@@ -106,8 +127,7 @@ class PieceEncoder:
             cut = (np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(other) + 1)) * self.width).tolist()
             for i, a, b in zip(other, cut, cut[1:], strict=False):
                 out[i] = ids[a:b]
-                if len(pieces[i]) <= CACHE_BYTES:
-                    cache[pieces[i]] = ids[a:b]
+                cache.put(pieces[i], ids[a:b])
         return out
 
     def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -58,6 +58,19 @@ def test_pieces_give_the_ids_of_the_whole_text(path):
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [direct(path, t) for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTE_BPE, WORD_BPE])
+def test_ids_of_a_text_do_not_depend_on_earlier_texts(path):
+    rng = random.Random(11)
+    parts = ["\0", "\0hello", "hello", " hello", "a", " ", "\n", "\x01", "\x1f", "<|endoftext|>", "<|startoftext|>", "Ġhello", "hello</w>", "wörld", "\0\0", "."]
+    texts = ["hello world", "\0hello", "a \0hello b", "\0"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(1500)]
+    want = {t: direct(path, t) for t in texts}
+    for order in (texts, texts[::-1], sorted(texts)):
+        enc = PieceEncoder(path)
+        for at in range(0, len(order), 100):
+            got = enc.encode(order[at : at + 100])
+            assert [np.frombuffer(g, "<u2").tolist() for g in got] == [want[t] for t in order[at : at + 100]]
+
+
 def test_sstable_report_and_lookup(spark, edge_docs, no_docs, tmp_path):
     manifest = sstable.write_sstables(edge_docs, BYTE_BPE, f"file://{tmp_path}/tables")
     got = sstable.read_sstables(spark, manifest).collect()
@@ -493,6 +506,38 @@ def test_languages(spark, edge_docs, no_docs):
     assert pair[0] == pair[1]
 
 
+def test_languages_of_repeated_rows(spark):
+    rows = [(i, "der Hund und die Katze", "de") for i in range(2000)] + [(i, "x y z", f"l{i % 70}") for i in range(2000, 2140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.language_report(docs.filter("doc_id < 2000")).filter("lang_pred = 'de'").count() == 2000
+    model = langid.learn_languages(docs)
+    assert sum(map(len, model.members.values())) >= 60 and langid.filter_languages(docs).count() == 2140
+    only = docs.filter("doc_id < 2000 and crc32(cast(doc_id as string)) % 3 = 1")  # none to learn from
+    assert {r["lang_pred"] for r in langid.language_report(only).collect()} == {"und"}
+
+
+def test_predictions_follow_the_machines(spark, edge_docs):
+    """Every row against a plain prediction: the best family, then votes of its pairs."""
+    model = langid.learn_languages(edge_docs)
+    got = langid.predict_languages(edge_docs, model).select("text", "_lang").collect()
+    for r in got:
+        text = r["text"]
+        if text is None or not any(c.isalpha() for c in text):
+            assert r["_lang"] == "und"
+            continue
+        margin = langid.features(text).dot(model.weights) + model.bias
+        families = list(model.families)
+        family = max(range(len(families)), key=lambda i: (margin[i], -i))
+        own = model.members[families[family]]
+        wins, sums = Counter(dict.fromkeys(own, 0)), Counter(dict.fromkeys(own, 0.0))
+        for at, (a, b) in enumerate(model.pairs, len(families)):
+            if a in own:
+                wins[a if margin[at] > 0 else b] += 1
+                sums[a] += margin[at]
+                sums[b] -= margin[at]
+        assert r["_lang"] == max(own, key=lambda x: (wins[x], sums[x], x))
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.language_report(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
@@ -502,6 +547,17 @@ def test_languages_held_out(spark):
 # language model
 
 
+def test_row_hash_takes_maps(spark):
+    from quillon.llm.common import row_hash
+
+    df = spark.sql("select id, map('a', id % 2) as m, struct(map(1, id)) as s from range(4)")
+    assert df.select(row_hash(df, 1).alias("h")).distinct().count() == 4
+    docs = spark.createDataFrame([(i, f"some words {i}", "s", {"k": i}) for i in range(50)], "doc_id long, text string, source string, m map<string,int>")
+    mixed = mix_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 0
+    assert simhash.simhash_dedup(docs).count() >= 1
+
+
 def test_scores(spark, edge_docs, no_docs, monkeypatch):
     monkeypatch.setattr("quillon.llm.lm_score.FREQUENT", 6)
     got = lm_score.score_documents(edge_docs).collect()
