@@ -2,18 +2,11 @@
 
 BK-trees over the 64-bit fingerprints find what lies within a small radius. Pairs
 of a Jaccard similarity of 0.8 lie up to 17 bits apart, too far for any tree, so
-further candidates come from minima of the shingles' hashes: documents that
-agree on all minima of a band share a bucket, and a pair of similarity s shares
-one of b buckets of r minima with probability 1 - (1 - s^r)^b, which is 0.999997
-at 0.8 with 24 bands of 4. Each member of a bucket is first compared with the
-bucket's least one alone, so a group of copies gives a star and never all pairs.
-The links found so far give components; members of a bucket that lie in different
-ones are then compared with each other. A bucket of over `pair_limit` such
-members is split first, by shingles: ordered by how few of these documents have
-them, similar sets share one of their first n - ceil(0.8 n) + 1, so documents
-that share a passage and no more fall apart and no pair is lost. What is still
-larger is compared whole: all who lie outside the bucket's main component with
-its other members. Every candidate is checked on the whole shingle sets.
+further candidates come from bands of minima of the shingles' hashes, as the module
+of odd sketches has them: stars about the least member of a bucket first, then
+what its members' components leave open, by blocks within tasks. Every link is
+confirmed on the whole shingle sets, and what is written grows with
+the documents, not with pairs in a bucket.
 
 Defined results: a text without words is no copy of anything; one with fewer
 words than a shingle has its whole sequence as the only shingle; rows equal in
@@ -23,151 +16,45 @@ smallest id stays, null ids last.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillon.llm.common import give_back, materialize, maybe_broadcast, text_or_empty
-from quillon.llm.simhash import bits_of, connected_components, near_edges, shingle_hashes
-
-#: Parts into which the rows of a large bucket are dealt.
-PARTS = 16
-#: Documents whose shingles are held at once.
-SLICE_ROWS = 256
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield from (batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS))
-        give_back()
-
-
-def _shingles(text: str, width: int, seed: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, width, seed), np.uint64))
-
-
-def band_keys(hashes: np.ndarray, multipliers: np.ndarray, bands: int) -> np.ndarray:
-    """One key for each band, of the minima under its multipliers."""
-    least = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 2048):
-        np.minimum(least, (multipliers[:, None] * hashes[None, at : at + 2048]).min(axis=1), out=least)
-    rows = least.reshape(bands, -1)
-    key = np.arange(bands, dtype=np.uint64)
-    for column in rows.T:
-        key = (key ^ (column >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(32)
-    return key.view(np.int64)
-
-
-def _sketches(docs: DataFrame, width: int, seed: int, bands: int, rows: int) -> DataFrame:
-    """node, fp (its fingerprint) and its band keys; documents without words have none."""
-    multipliers = np.random.default_rng(seed).integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            prints, keys = [], []
-            for text in batch["_text"]:
-                hashes = shingle_hashes(text.as_py(), width, seed)
-                prints.append(bits_of(hashes))
-                keys.append(band_keys(np.unique(np.array(hashes, np.uint64)), multipliers, bands) if hashes else np.empty(0, np.int64))
-            yield pa.record_batch([batch["node"], pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["node", "fp", "keys"])
-
-    return docs.select("node", "_text").mapInArrow(of, "node long, fp long, keys array<long>")
+from quillon.llm.common import bounded_batches, materialize, maybe_broadcast, text_or_empty
+from quillon.llm.odd_sketch import set_links, sketched
+from quillon.llm.simhash import near_edges
 
 
-def _sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            found = [_shingles(t, width, seed).view(np.int64) for t in batch["_text"].to_pylist()]
-            yield pa.record_batch([batch["node"], pa.array(found, pa.list_(pa.int64()))], ["node", "s"])
-
-    return docs.select("node", "_text").mapInArrow(of, "node long, s array<long>")
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose sets are similar. The side that many pairs share is joined first, while rows are small."""
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-
-def _tree_pairs(sketches: DataFrame, radius: int) -> DataFrame:
+def _tree_pairs(nodes: DataFrame, radius: int) -> DataFrame:
     """Pairs of nodes whose fingerprints are equal or linked within radius by BK-trees, each to a least one."""
-    known = sketches.filter(F.size("keys") > 0).select("node", "fp")
-    least = materialize(known.groupBy("fp").agg(F.min("node").alias("least")), "near-prints")
-    equal = known.join(least, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    least = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")), "near-prints")
+    equal = nodes.select("node", "fp").join(least, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
     edges = near_edges(least.select(F.col("fp").alias("node"), "fp"), radius)
     for end in ("a", "b"):
         edges = edges.join(least.select(F.col("fp").alias(end), F.col("least").alias(f"_{end}")), end)
     return equal.unionByName(edges.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
 
-def _pairs_across(members: DataFrame, sets: DataFrame, least: float, pair_limit: int, split: bool = True) -> DataFrame:
-    """Pairs (a, b) of members of a bucket (columns key, node, component) that lie in different components."""
-    each = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = each.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("main"))
-    sizes = materialize(sizes.filter("kinds > 1").select("key", "n", "main"), "near-sizes")
-    known = members.join(maybe_broadcast(sizes, 40), "key")
-    lists = known.filter(F.col("n") <= pair_limit).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "component"))).alias("m"))
-    every = "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> x.component <> y.component), y -> struct(y.node AS a, x.node AS b))))"
-    pairs = lists.select(F.explode(F.expr(every)).alias("p")).select("p.*")
-    large = known.filter(F.col("n") > pair_limit)
-    if split:
-        each = large.select("node", "component").distinct().join(sets, "node").select("node", "component", F.explode("s").alias("item"))
-        each = materialize(each, "near-items")
-        shared = each.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-        ordered = each.join(shared, "item").groupBy("node", "component").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("o"))
-        n = F.size("o")
-        first = F.slice("o", F.lit(1), (n - F.ceil(n * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))
-        again = ordered.select("node", "component", F.explode(F.filter(first, lambda o: o["n"] > 1)).alias("o")).select("node", "component", F.col("o.item").alias("key"))
-        return pairs.unionByName(_pairs_across(materialize(again, "near-split"), sets, least, pair_limit, split=False))
-    part = F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")
-    outside = large.filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("own"), part.alias("part"))
-    others = large.select("key", F.col("node").alias("b"), "component", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    return pairs.unionByName(outside.join(others, ["key", "part"]).filter("own <> component").select("a", "b"))
-
-
-def _components(edges: DataFrame) -> DataFrame:
-    """node and component of every node of edges."""
-    found = connected_components(edges)  # every node but a component's own least one
-    return materialize(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "near-components")
-
-
 def near_copies_dedup(
-    docs: DataFrame, *, width: int = 5, least: float = 0.8, radius: int = 2, bands: int = 24, rows: int = 4, seed: int = 42, pair_limit: int = 64, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, width: int = 5, least: float = 0.8, radius: int = 2, bands: int = 32, rows: int = 4, samples: int = 256, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The documents, all columns, without those linked by similarities of at least `least` to one with a smaller id."""
-    node = F.xxhash64(F.col(id_col).cast("long"), text_or_empty(text_col))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"), node.alias("node"))
-    sketches = materialize(_sketches(texts, width, seed, bands, rows).dropDuplicates(["node"]), "near-sketches")
-    keyed = sketches.select("node", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
-    buckets = materialize(buckets.select("key", "least"), "near-buckets")
-    stars = materialize(keyed.join(maybe_broadcast(buckets, 24), "key").select("key", "node", "least"), "near-stars")
-    pairs = _tree_pairs(sketches, radius).unionByName(stars.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    pairs = materialize(_ordered(pairs), "near-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = texts.join(maybe_broadcast(materialize(asked, "near-asked"), 16), "node", "left_semi")
-    sets = materialize(_sets(asked, width, seed).dropDuplicates(["node"]), "near-sets")
-    edges = materialize(_similar(pairs, sets, least), "near-edges")
-    # Members of a bucket that these links don't connect.
-    found = _components(edges)
-    placed = stars.join(maybe_broadcast(found, 16), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    more = _ordered(_pairs_across(materialize(placed, "near-placed"), sets, least, pair_limit)).join(pairs, ["a", "b"], "left_anti")
-    more = materialize(_similar(more, sets, least), "near-more")
-    members = found if more.isEmpty() else _components(edges.unionByName(more))
-    named = texts.select("node", "_id").join(maybe_broadcast(members, 16), "node").distinct()
-    place = F.struct(F.col("_id").isNull().alias("last"), "_id", "node")
-    named = materialize(named.select("component", place.alias("place")), "near-named")
-    kept = materialize(named.groupBy("component").agg(F.min("place").alias("kept")), "near-kept")
-    gone = named.join(maybe_broadcast(kept, 40), "component").filter("place.node <> kept.node").select("place.node")
+    """The documents, all columns, without those linked by similarities of at least `least` (in hundredths) to one with a smaller id."""
+    bounded_batches(docs.sparkSession)
+    own, text = F.col(id_col).cast("long"), text_or_empty(text_col)
+    keys = [F.xxhash64(F.lit(k), own, own.isNull(), text).alias(f"_k{k}") for k in (1, 2)]  # 128 bits that stand for id and text
+    texts = docs.select(own.alias("_id"), *keys, F.xxhash64(text).alias("_key"), text.alias("_text"))
+    found = materialize(sketched(texts, width, seed, samples, bands, rows), "near-sketches")
+    nodes = found.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("docs"), *[F.first(c).alias(c) for c in ("_key", "n", "sketch", "keys", "fp")])
+    nodes = materialize(nodes, "near-nodes")
+    pairs = materialize(_tree_pairs(nodes, radius), "near-pairs")
+    roots = set_links(texts, nodes, width=width, percent=round(100 * least), seed=seed, samples=samples, more=pairs)
+    named = nodes.filter("docs > 1").select("node", F.col("node").alias("root"))
+    if roots is not None:
+        named = nodes.select("node", "docs").join(maybe_broadcast(roots, 48), "node", "left").filter("docs > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"))
+    place = F.struct(F.col("_id").isNull().alias("last"), "_id", "_k1", "_k2").alias("place")
+    placed = found.select("node", place).join(maybe_broadcast(materialize(named, "near-named"), 48), "node").select("root", "place")
+    placed = materialize(placed, "near-placed")
+    kept = materialize(placed.groupBy("root").agg(F.min("place").alias("kept")), "near-kept")
+    gone = placed.join(maybe_broadcast(kept, 80), "root").filter("place <> kept").select("place._k1", "place._k2").distinct()
     gone = materialize(gone, "near-gone")
-    # The row stands apart from the node, whatever its columns are called.
-    row = docs.select(F.struct("*").alias("row"), node.alias("node"))
-    return row.join(maybe_broadcast(gone, 16), "node", "left_anti").select("row.*")
+    # The row stands apart from its keys, whatever its columns are called.
+    row = docs.select(F.struct("*").alias("row"), *keys)
+    return row.join(maybe_broadcast(gone, 24), ["_k1", "_k2"], "left_anti").select("row.*")

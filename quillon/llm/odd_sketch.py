@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm.common import bounded_batches, give_back, materialize, maybe_broadcast, text_or_empty
-from quillon.llm.simhash import connected_components, link
+from quillon.llm.simhash import bits_of, connected_components
 
 #: Bits of a sketch; bytes of text whose words are hashed together; shingles whose minima are taken together.
 BITS, SLICE_BYTES, CHUNK = 512, 2 << 20, 1024
@@ -140,23 +140,25 @@ def _name(s: np.ndarray) -> bytes:
     return b"".join(int(mixed(s ^ np.uint64(c)).sum(dtype=np.uint64)).to_bytes(8, "big") for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
 
 
-def _sketched(docs: DataFrame, width: int, seed: int, samples: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, _key, node (a name of the set, null if it is empty), n, sketch and keys of each document."""
+def sketched(docs: DataFrame, width: int, seed: int, samples: int, bands: int, rows: int) -> DataFrame:
+    """docs (other columns than _text must be longs) with node (a name of the set, null if it is empty), n, sketch, keys and fp (a SimHash fingerprint of the set)."""
     multipliers = np.random.default_rng(seed).integers(0, 1 << 31, samples, np.uint32) * np.uint32(2) + np.uint32(1)
+    carried = [c for c in docs.columns if c != "_text"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sizes, least = [], [], np.zeros((batch.num_rows, samples), np.uint32)
+            names, sizes, least, prints = [], [], np.zeros((batch.num_rows, samples), np.uint32), np.zeros(batch.num_rows, np.uint64)
             for i, s in enumerate(shingle_sets(batch["_text"], width, seed)):
                 names.append(_name(s) if len(s) else None)
                 sizes.append(len(s))
                 least[i] = minima(s, multipliers)
+                prints[i] = bits_of(s)
             words = odd_sketches(least).view(np.int64)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (words, band_keys(least, bands, rows))]
-            yield pa.record_batch([batch["doc_id"], batch["_key"], pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), *lists], ["doc_id", "_key", "node", "n", "sketch", "keys"])
+            yield pa.record_batch([*[batch[c] for c in carried], pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), *lists, pa.array(prints.view(np.int64))], [*carried, "node", "n", "sketch", "keys", "fp"])
             give_back()
 
-    return docs.mapInArrow(of, "doc_id long, _key long, node binary, n long, sketch array<long>, keys array<long>")
+    return docs.mapInArrow(of, ", ".join(f"{c} long" for c in carried) + ", node binary, n long, sketch array<long>, keys array<long>, fp long")
 
 
 def _sets(docs: DataFrame, width: int, seed: int) -> DataFrame:
@@ -335,8 +337,11 @@ def _components(edges: DataFrame) -> DataFrame:
     return materialize(found.select("node", F.col("component").alias("root")).unionByName(found.select(F.col("component").alias("node"), F.col("component").alias("root")).distinct()), "odd-components")
 
 
-def set_links(docs: DataFrame, nodes: DataFrame, *, width: int, percent: int, seed: int, samples: int) -> DataFrame | None:
-    """node and root of all linked nodes; docs has _text and _key, nodes has node, _key, n, sketch and keys. None if nothing is linked."""
+def set_links(docs: DataFrame, nodes: DataFrame, *, width: int, percent: int, seed: int, samples: int, more: DataFrame | None = None) -> DataFrame | None:
+    """node and root of all linked nodes, or None if no nodes come together.
+
+    docs has _text and _key, nodes has node, _key, n, sketch and keys; more are further pairs (a, b) of nodes to be looked at.
+    """
     bar = most_odd(percent / 100, samples)
 
     def sets_of(asked: DataFrame) -> DataFrame:
@@ -346,8 +351,10 @@ def set_links(docs: DataFrame, nodes: DataFrame, *, width: int, percent: int, se
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     buckets = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot")).filter("m > 1"), "odd-buckets")
     members = materialize(keyed.join(maybe_broadcast(buckets, 64), "key"), "odd-members")
-    stars = materialize(likely(likely_once(members.select(F.col("node").alias("a"), F.col("pivot").alias("b"))), nodes, percent, bar), "odd-stars")
-    if members.isEmpty():
+    pairs = members.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    pairs = pairs if more is None else pairs.unionByName(more)
+    stars = materialize(likely(likely_once(pairs), nodes, percent, bar), "odd-stars")
+    if stars.isEmpty() and members.isEmpty():
         return None
     edges = confirmed(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()), percent)
     edges = materialize(edges, "odd-edges")
@@ -370,8 +377,8 @@ def odd_sketch_components(
     bounded_batches(docs.sparkSession)
     text = text_or_empty(text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("_key"), text.alias("_text"))
-    sketched = materialize(_sketched(texts, width, seed, samples, bands, rows), "odd-sketches")
-    nodes = sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("docs"), *[F.first(c).alias(c) for c in ("_key", "n", "sketch", "keys")])
+    found = materialize(sketched(texts, width, seed, samples, bands, rows), "odd-sketches")
+    nodes = found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("docs"), *[F.first(c).alias(c) for c in ("_key", "n", "sketch", "keys")])
     nodes = materialize(nodes, "odd-nodes")
     roots = set_links(texts, nodes, width=width, percent=percent, seed=seed, samples=samples)
     known = nodes.select("node", "least", "docs")
@@ -381,6 +388,6 @@ def odd_sketch_components(
         rooted = materialize(known.join(maybe_broadcast(roots, 48), "node", "left").filter("docs > 1 or root is not null").withColumn("root", F.coalesce("root", "node")), "odd-rooted")
         named = rooted.select("node", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
     named = materialize(named.withColumn("_named", F.lit(True)), "odd-named")
-    joined = sketched.select("doc_id", "node", F.col("n").alias("n_shingles")).join(maybe_broadcast(named, 48), "node", "left")
+    joined = found.select("doc_id", "node", F.col("n").alias("n_shingles")).join(maybe_broadcast(named, 48), "node", "left")
     component = F.when(F.col("_named"), F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

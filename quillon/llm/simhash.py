@@ -51,9 +51,9 @@ def shingle_hashes(text: str | None, width: int, seed: int) -> list[int]:
     return [digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
 
 
-def bits_of(hashes: list[int]) -> int:
+def bits_of(hashes: list[int] | np.ndarray) -> int:
     """64 bits; a bit is set if over half of the hashes set it."""
-    if not hashes:
+    if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
