@@ -134,6 +134,29 @@ def tanimoto_bits(a: Column, b: Column) -> Column:
     return F.try_divide(ones(lambda x, y: x.bitwiseAND(y)), ones(lambda x, y: x.bitwiseOR(y)))
 
 
+def packed_bits(bits: str, width: int = 1024) -> Column:
+    """A set of places below width as width / 64 longs, lowest first; a null set is null."""
+    word = lambda w: F.aggregate(F.filter(F.col(bits), lambda b: F.floor(b / 64) == w), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b, F.lit(64)).cast("int"))))
+    return F.when(F.col(bits).isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(width // 64 - 1)), word))
+
+
+def bits_on(words: str | Column) -> Column:
+    """Number of set bits of packed words."""
+    words = F.col(words) if isinstance(words, str) else words
+    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc + F.bit_count(w))
+
+
+def packed_tanimoto(a: str, b: str) -> Column:
+    """Shared over all set bits of two packed sets of equal width; null if neither has any."""
+    shared = bits_on(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
+    return F.try_divide(shared, bits_on(a) + bits_on(b) - shared)
+
+
+def folded_key(x: Column) -> Column:
+    """A key without regard to case and outer white space; blank is null."""
+    return blank_to_null(F.lower(clean_text(x)))
+
+
 def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 

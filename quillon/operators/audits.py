@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.functions import scalars as S
+from quillon.operators.checks import place_counts
+from quillon.operators.evaluation import correlation_matrix
 from quillon.operators.tables import numbered_ids
+from quillon.sources.files import shared_table
 
 
 def modal_value_deviations(df: DataFrame, name: str, value: str) -> DataFrame:
@@ -24,20 +27,19 @@ def table_profile(df: DataFrame, keys: Sequence[str], top: int = 12) -> DataFram
     as a value. Blank text counts as missing.
     """
     text = {c for c, kind in df.dtypes if kind == "string"}
-    n = F.count(F.lit(1))
-    missing = {c: F.count_if(S.blank_to_null(F.col(c)).isNull() if c in text else F.col(c).isNull()) for c in df.columns}
+    flags = [(S.blank_to_null(F.col(f"`{c}`")).isNull() if c in text else F.col(f"`{c}`").isNull()).cast("int") for c in df.columns]
     tests = {"repeats:" + k: [k] for k in keys} | ({"repeats:first_two": list(keys[:2])} if len(keys) > 1 else {})
-    row = df.agg(
-        n.alias("rows"), *[m.alias(f"m{i}") for i, m in enumerate(missing.values())],
-        *[(n - F.countDistinct(F.struct(*k))).alias(f"r{i}") for i, k in enumerate(tests.values())],
-    )
-    entry = lambda kind, metric, value: F.struct(F.lit(kind).alias("kind"), F.lit(metric).alias("metric"), value.cast("long").alias("value"))
-    entries = [entry("", "rows", F.col("rows")), entry("", "columns", F.lit(len(df.columns))), entry("", "missing:total", sum(F.col(f"m{i}") for i in range(len(missing))))]
-    entries += [entry("missing", "missing:" + c, F.col(f"m{i}")) for i, c in enumerate(missing)]
-    entries += [entry("", name, F.col(f"r{i}")) for i, name in enumerate(tests)]
-    long = row.select(F.inline(F.array(*entries)))
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("value"), "metric"))  # a row for each column of the table
-    return long.withColumn("_rank", rank).filter((F.col("kind") == "") | (F.col("_rank") <= top)).select("metric", "value")
+    counts = place_counts(df, [*[([], f) for f in flags], *[(k, None) for k in tests.values()]])
+    names = [("missing", "missing:" + c) for c in df.columns] + [("repeats", t) for t in tests]
+    named = df.sparkSession.createDataFrame([(i, *n) for i, n in enumerate(names)], "place int, kind string, metric string").join(F.broadcast(counts), "place", "left")  # a row for each column and test
+    value = F.coalesce(F.when(F.col("kind") == "missing", F.col("flagged")).otherwise(F.col("rows") - F.col("distinct")), F.lit(0))
+    each = shared_table(named.select("kind", "metric", value.alias("value"), F.coalesce("rows", F.lit(0)).alias("rows")))
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("value"), "metric"))
+    kept = each.withColumn("_rank", rank).filter((F.col("kind") == "repeats") | (F.col("_rank") <= top)).select("metric", "value")
+    total = each.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("kind") == "missing", F.col("value"))), F.lit(0)).alias("missing"))
+    entry = lambda metric, x: F.struct(F.lit(metric).alias("metric"), x.cast("long").alias("value"))
+    whole = total.select(F.inline(F.array(entry("rows", F.col("rows")), entry("columns", F.lit(len(df.columns))), entry("missing:total", F.col("missing")))))
+    return kept.unionByName(whole)
 
 
 def split_summary(df: DataFrame, part: str, key: str) -> DataFrame:
@@ -171,8 +173,50 @@ def pseudonyms(df: DataFrame, column: str, pattern: str = "Assessor_%02d") -> tu
 
 
 def correlated_pairs(df: DataFrame, features: Sequence[str], threshold: float, top: int = 20) -> DataFrame:
-    """a, b and r of the `top` pairs of features whose correlation exceeds the threshold in size, from one pass."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    long = row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
-    return long.filter(F.abs("r") > threshold).orderBy(F.desc(F.abs("r")), "a", "b").limit(top)
+    """a, b and r of the `top` pairs of features whose correlation exceeds the threshold in size; the matrix of features is all that comes to the driver."""
+    r = correlation_matrix(df, features)
+    rows = [(a, b, float(r[i, j])) for i, a in enumerate(features) for j, b in enumerate(features) if i < j and abs(r[i, j]) > threshold]
+    rows.sort(key=lambda x: (-abs(x[2]), x[0], x[1]))
+    return df.sparkSession.createDataFrame(rows[:top], "a string, b string, r double")
+
+
+def run_summary(queue: DataFrame, values: DataFrame, keys: Sequence[str], shard: str, requested: str, state: str, value: str, source: str, *, ran: bool = True, default_requested: int = 0) -> DataFrame:
+    """One row for each key of the queue, of the values that its shards gave.
+
+    queue has a row for each shard: keys, shard, requested (null: a key
+    without shards), state and source; values has keys, shard and value. Columns: status
+    (CONFIGURED_NOT_RUN, NO_SHARDS, COMPLETE, PARTIAL or FAILED), requested, found,
+    completion (percent, at most 100), shards_expected, shards_completed,
+    shards_failed, best (least) with best_source (of ties the least shard),
+    median, mean, sd (0 of one value), q25, q75 and worst.
+    """
+    text = F.coalesce(F.col(state), F.lit("NOT_RUN"))
+    done, idle = text.isin("SUCCESS", "SKIPPED_COMPLETE"), text.isin("NOT_RUN", "")
+    real = F.col(requested).isNotNull()
+    planned = queue.groupBy(*keys).agg(
+        F.coalesce(F.sum(requested), F.lit(0)).cast("long").alias("requested"), F.count_if(real).alias("shards_expected"), F.count_if(real & done).alias("shards_completed"), F.count_if(real & ~done & ~idle).alias("shards_failed"),
+    )
+    v = F.col(value)
+    own = values.filter(v.isNotNull()).join(queue.select(*keys, shard, source), [*keys, shard])
+    q = F.percentile(v, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+    made = own.groupBy(*keys).agg(
+        F.count(v).alias("found"), F.min(v).alias("best"), F.min_by(source, F.struct(v, shard)).alias("best_source"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("sd"), q.alias("_q"), F.max(v).alias("worst"),
+    )
+    both = planned.join(made, list(keys), "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    asked, found = F.col("requested"), F.col("found")
+    status = F.when(F.lit(not ran), "CONFIGURED_NOT_RUN").when(asked == 0, "NO_SHARDS").when((found >= asked) & (F.col("shards_failed") == 0), "COMPLETE").when(found > 0, "PARTIAL").otherwise("FAILED")
+    completion = F.when(asked == 0, 0.0).otherwise(F.round(F.least(F.lit(100.0), 100.0 * found / asked), 1))
+    quartiles = [F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "median", "q75"))]
+    return both.select(
+        *keys, status.alias("status"), F.when(asked == 0, F.lit(default_requested)).otherwise(asked).cast("long").alias("requested"), "found", completion.alias("completion"),
+        "shards_expected", "shards_completed", "shards_failed", "best", "best_source", "mean", "sd", *quartiles, "worst",
+    )
+
+
+def drop_label_if_released(vocabulary: DataFrame, entities: DataFrame, label_col: str, label: str, expected_entities: int, expected_labels: int) -> tuple[DataFrame, DataFrame]:
+    """The vocabulary without the label if there are exactly the expected entities, and labels with this one on top; else all of it. Second, one row with both counts and what was done."""
+    n = entities.agg(F.count(F.lit(1)).alias("n_entities"))
+    m = vocabulary.agg(F.count(F.lit(1)).alias("n_labels"), F.count_if(F.col(label_col) == label).alias("n_label"))
+    judged = n.crossJoin(m).withColumn("dropped", (F.col("n_entities") == expected_entities) & (F.col("n_labels") == expected_labels + 1) & (F.col("n_label") > 0))  # one row
+    kept = vocabulary.crossJoin(F.broadcast(judged.select("dropped"))).filter(~F.col("dropped") | (F.col(label_col) != label) | F.col(label_col).isNull())
+    return kept.select(*vocabulary.columns), judged

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillon.functions.scalars import bits_on, grid_size, packed_bits
+from quillon.operators.evaluation import correlation_matrix
 from quillon.operators.tables import SMALL_ROWS
 from quillon.sources.files import shared_table
 
@@ -29,6 +31,19 @@ def key_conflicts(df: DataFrame, key: str, value: str) -> DataFrame:
     return known.groupBy(key).agg(F.countDistinct(value).alias("n_values")).filter("n_values > 1")
 
 
+def two_way_conflicts(df: DataFrame, left: str, right: str) -> DataFrame:
+    """direction, key and n_values: values of either column that meet more than one of the other; blanks don't count."""
+    pairs = shared_table(df.filter((F.col(left) != "") & (F.col(right) != "")).select(F.col(left).cast("string").alias("l"), F.col(right).cast("string").alias("r")).distinct())
+    one = lambda a, name: pairs.groupBy(a).agg(F.count(F.lit(1)).alias("n_values")).filter("n_values > 1").select(F.lit(name).alias("direction"), F.col(a).alias("key"), "n_values")
+    return one("l", f"{left}->{right}").unionByName(one("r", f"{right}->{left}"))
+
+
+def conflict_rows(df: DataFrame, keys: Sequence[str], value: str, source: str, reason: str = "conflicting_duplicate_records") -> DataFrame:
+    """keys, sources (distinct ids in order, joined by ;), values and exclusion_reason of every key with more than one known value."""
+    made = df.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("_v"), F.array_sort(F.collect_set(F.col(source).cast("string"))).alias("_s"))
+    return made.filter(F.size("_v") > 1).select(*keys, F.array_join("_s", ";").alias("sources"), F.array_join(F.col("_v").cast("array<string>"), ";").alias("values"), F.lit(reason).alias("exclusion_reason"))
+
+
 def cooccurrence(df: DataFrame, entity: str, label: str) -> DataFrame:
     """How many entities have both labels, for every pair of labels of the vocabulary, zeros too."""
     own = df.select(entity, F.col(label).alias("a")).distinct()
@@ -56,21 +71,6 @@ def long_metrics(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     return row.unpivot([], list(metrics), "metric", "value")
 
 
-def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, n_rows, n_missing, n_distinct, is_constant of each column.
-
-    Every column is scanned alone and its values are counted before they are
-    shuffled; distinct counts side by side would repeat each row for each column.
-    """
-
-    def profile(c: str) -> DataFrame:
-        values = df.select(F.col(c).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        rows, missing = (F.coalesce(F.sum(n), F.lit(0)) for n in (F.col("n"), F.when(F.col("v").isNull(), F.col("n"))))
-        return values.agg(rows.alias("n_rows"), missing.alias("n_missing"), F.count("v").alias("n_distinct")).select(F.lit(c).alias("column"), "*")
-
-    return reduce(DataFrame.unionByName, map(profile, columns)).withColumn("is_constant", F.col("n_distinct") <= 1)
-
-
 def duplicate_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """n_rows, n_distinct and n_duplicates of the keys; nulls are a value of their own."""
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -110,8 +110,8 @@ def usable_features(train: DataFrame, features: Sequence[str], limit: float = 0.
 
     A feature goes if it has missing values or no variance in the training rows,
     or if its correlation with one that ranks above it exceeds the limit. The
-    statistics are one pass on Spark; only a row for each pair of features comes
-    to the driver.
+    statistics are passes on Spark; only the matrix of features comes to the
+    driver.
     """
     spark = train.sparkSession
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -127,12 +127,11 @@ def usable_features(train: DataFrame, features: Sequence[str], limit: float = 0.
         else:
             left.append(f)
     left.sort(key=lambda f: (-stats[f"v_{f}"], f))
-    pairs = [(a, b) for i, a in enumerate(left) for b in left[i + 1 :]]
-    r = train.agg(*[F.abs(F.corr(a, b)).alias(f"{a}|{b}") for a, b in pairs]).first() if pairs else {}
+    r = np.abs(correlation_matrix(train, left)) if len(left) > 1 else np.zeros((1, 1))
+    place = {f: i for i, f in enumerate(left)}
     kept: list[str] = []
     for f in left:
-        with_kept = [(r[f"{k}|{f}"], k) for k in kept]
-        above = [(x, k) for x, k in with_kept if x is not None and x > limit]
+        above = [(x, k) for k in kept if (x := float(r[place[k], place[f]])) > limit]
         if above:
             log.append((f, "correlated", max(x for x, _ in above), above[0][1]))
         else:
@@ -175,16 +174,6 @@ def split_audit(train: DataFrame, test: DataFrame, reference: DataFrame, key: st
     })
 
 
-def auc(df: DataFrame, keys: Sequence[str], truth: str, score: str) -> DataFrame:
-    """Area under the ROC curve by average ranks of tied scores; null without both classes."""
-    ties = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(truth).cast("int")).alias("_p"))
-    w = Window.partitionBy(*keys).orderBy(score)
-    ranked = ties.withColumn("_r", F.sum("_n").over(w) - (F.col("_n") - 1) / 2)
-    out = ranked.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_p").alias("n_positive"), F.sum(F.col("_r") * F.col("_p")).alias("_s"))
-    p = F.col("n_positive")
-    return out.select(*keys, "n", "n_positive", F.try_divide(F.col("_s") - p * (p + 1) / 2, p * (F.col("n") - p)).alias("auc"))
-
-
 def concordance_coefficient(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Lin's concordance correlation."""
     gap = F.avg(x) - F.avg(y)
@@ -205,6 +194,14 @@ def hashed_fingerprint(tokens: Column, bits: int = 1024) -> Column:
     return F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(bits)).cast("int"))))
 
 
+def fingerprint_table(df: DataFrame, ids: Sequence[str], tokens: Column, valid: Column, bits: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """ids, words (the set bits as packed longs), on_bits and density of each valid row, and the ids of the others with a reason."""
+    good = F.coalesce(valid, F.lit(False))
+    made = df.filter(good).select(*ids, hashed_fingerprint(tokens, bits).alias("_bits")).select(*ids, packed_bits("_bits", bits).alias("words"))
+    rows = made.withColumn("on_bits", bits_on("words")).withColumn("density", F.col("on_bits") / bits)
+    return rows, df.filter(~good).select(*ids, F.lit("invalid_or_missing_input").alias("reason"))
+
+
 def similar_pairs(df: DataFrame, id_col: str, items: str, threshold: float) -> DataFrame:
     """Pairs a < b of sets with Jaccard similarity above the threshold, by prefix filtering.
 
@@ -278,15 +275,22 @@ def principal_axis(df: DataFrame, group: str, x: str, y: str, z: str) -> DataFra
     return rows.mapInPandas(axes, f"{group} {dict(df.dtypes)[group]}, cx double, cy double, cz double, ax double, ay double, az double")
 
 
-def nearest(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
-    """query, neighbour and rank of the k nearest rows of base for each of a bounded set of queries, other than itself."""
-    from quillon.functions.scalars import euclidean
+def axis_angle(left: Sequence[Column], right: Sequence[Column]) -> Column:
+    """Degrees between two axes that have no direction: the size of the cosine, held to [0, 1]."""
+    dot = reduce(lambda a, b: a + b, [a * b for a, b in zip(left, right, strict=True)])
+    return F.degrees(F.acos(F.least(F.greatest(F.abs(dot), F.lit(0.0)), F.lit(1.0))))
+
 
-    q = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("_q"))
-    pairs = base.select(F.col(id_col).alias("neighbour"), F.col(vector).alias("_v")).join(F.broadcast(q), F.col("query") != F.col("neighbour"))
-    near = pairs.select("query", "neighbour", F.round(euclidean("_q", "_v"), 6).alias("distance"))
-    w = Window.partitionBy("query").orderBy("distance", "neighbour")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def bounding_box(df: DataFrame, group: str, axes: Sequence[str], spacing: float, padding: float, centre: str = "bbox") -> DataFrame:
+    """For each group and axis a: a_low, a_high, a_centre (of the box or, with "centroid", of the points), a_extent and a_points (even, the grid that covers the padded extent)."""
+    aggs = [x.alias(f"{a}_{n}") for a in axes for n, x in (("low", F.min(a)), ("high", F.max(a)), ("mean", F.avg(a)))]
+    made = df.groupBy(group).agg(*aggs)
+    cols = [F.col(group)]
+    for a in axes:
+        low, high = F.col(f"{a}_low"), F.col(f"{a}_high")
+        middle = (low + high) / 2 if centre == "bbox" else F.col(f"{a}_mean")
+        cols += [low, high, middle.alias(f"{a}_centre"), (high - low).alias(f"{a}_extent"), grid_size(high - low, spacing, padding).alias(f"{a}_points")]
+    return made.select(*cols)
 
 
 def expected_audit(metrics: DataFrame, expected: dict[tuple[str, str], float]) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from quillon.plans import audits, registry  # noqa: F401
+from quillon.plans import audits, registry, suites  # noqa: F401

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.functions import scalars as S
+from quillon.operators import checks as C
+from quillon.operators import evaluation as E
 from quillon.operators import groups as G
 from quillon.operators import measures as M
 from quillon.operators import splits as P
@@ -316,7 +318,7 @@ _PROFILED = ("p_name", "p_brand", "p_type", "p_size")
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_distinct, count(DISTINCT {c}) <= 1 AS is_constant FROM part" for c in _PROFILED))
 def a13_column_profile(t):
-    return M.column_profile(t.part, _PROFILED)
+    return C.column_profile(t.part, _PROFILED).select("column", "n_rows", "n_missing", "n_distinct", "is_constant")
 
 
 @query("SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS n_distinct, count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS n_duplicates FROM lineitem")
@@ -706,7 +708,7 @@ def d10_metric_documents(t):
 @query("""WITH k AS (SELECT source, toxic, n_chars, avg(rk) OVER (PARTITION BY source, n_chars) AS rk FROM (SELECT source, toxic, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS rk FROM documents JOIN labels USING (doc_id)))
 SELECT source, count(*) AS n, CAST(sum(toxic) AS BIGINT) AS n_positive, round((sum(rk * toxic) - sum(toxic) * (sum(toxic) + 1) / 2) / nullif(sum(toxic) * (count(*) - sum(toxic)), 0), 6) AS auc FROM k GROUP BY 1""")
 def d5_auc(t):
-    return M.auc(t.documents.join(t.labels, "doc_id"), ["source"], "toxic", "n_chars").withColumn("auc", r("auc"))
+    return E.auc(t.documents.join(t.labels, "doc_id"), ["source"], "toxic", "n_chars").withColumn("auc", r("auc"))
 
 
 @query("""SELECT l_returnflag, round(2 * covar_pop(l_discount, l_tax) / (var_pop(l_discount) + var_pop(l_tax) + (avg(l_discount) - avg(l_tax)) ** 2), 6) AS concordance FROM lineitem GROUP BY 1""")
@@ -730,7 +732,7 @@ def d4_knee(t):
 k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) AS rank FROM d) SELECT query, neighbour, distance, CAST(rank AS INT) AS rank FROM k WHERE rank <= 5""")
 def d7_nearest(t):
     v = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return M.nearest(v.filter("vec_id % 50 = 0"), v, "vec_id", "v", 5)
+    return E.nearest(v.filter("vec_id % 50 = 0"), v, "vec_id", "v", 5)
 
 
 @query("""SELECT l_returnflag, l_linestatus, round(avg(l_discount), 6) AS mean, round(stddev_pop(l_discount), 6) AS sd0, round(stddev_samp(l_discount), 6) AS sd1,
