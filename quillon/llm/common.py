@@ -16,8 +16,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 32 << 20
 
 
-#: Rows of an Arrow batch at most; whole texts are long.
-BATCH_ROWS = 2000
+#: Rows of a batch at most, of Arrow's and of the Parquet reader's; whole texts are long.
+BATCH_ROWS, READ_ROWS = 1000, 512
 # Memory that Arrow frees goes back to the system, since workers live on from stage to stage.
 pa.set_memory_pool(pa.system_memory_pool())
 
@@ -30,10 +30,10 @@ def give_back() -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """From now on the session's Arrow batches have BATCH_ROWS rows at most."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """From now on the session's Arrow batches have BATCH_ROWS rows at most, and the Parquet reader's READ_ROWS."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        if not 0 < int(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillon.llm.common import give_back, materialize, text_or_empty
-from quillon.llm.tokens import encoder, with_end
+from quillon.llm.common import bounded_batches, give_back, materialize, text_or_empty
+from quillon.llm.tokens import CACHE_PIECES, SLICE_BYTES, encoder, with_end
 
 #: Pieces of a group on average.
 GROUP_PIECES = 20_000
@@ -79,11 +79,11 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int]
     return out
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, int] = (CACHE_PIECES, SLICE_BYTES)) -> DataFrame:
     """Pieces of every document: full windows and a rest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, *sizes)
         for batch in batches:
             rows = []
             for place, ids in enumerate(with_end(enc, batch["_text"], end_id)):
@@ -98,9 +98,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int,
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache_pieces: int = CACHE_PIECES, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece; cache_pieces and slice_bytes weigh a task's memory against its time."""
+
+    bounded_batches(docs.sparkSession)
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("doc_tokens", "ascending")])
@@ -110,7 +112,7 @@ def pack_documents(
         return rows.append_column("offset", pa.array(at[:, 1]))
 
     names = [c.split()[0] for c in PIECE.split(", ")]
-    pieces = materialize(token_pieces(docs, tokenizer_path, window, end_id, id_col, text_col).groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), "pieces")
+    pieces = materialize(token_pieces(docs, tokenizer_path, window, end_id, id_col, text_col, (cache_pieces, slice_bytes)).groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), "pieces")
     n_groups = max(1, -(-(pieces.agg(F.sum("_n")).first()[0] or 0) // GROUP_PIECES))
     each = pieces.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     grouped = each.select(*names, F.pmod(F.xxhash64(*names, "_k"), F.lit(n_groups)).alias("_group"))

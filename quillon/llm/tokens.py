@@ -19,10 +19,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Entries in a generation of a cache, and bytes of a key that is kept at most: two generations of pieces and words are about 60 MB.
-CACHE_PIECES, CACHE_WORDS, CACHE_BYTES = 80_000, 40_000, 64
-#: Bytes of text that are cut together, but for a single longer text.
-SLICE_BYTES = 4 << 20
+#: By default: pieces in a generation of the cache, half as many words, and bytes of text that are cut together, but for a
+#: single longer text. At most about 150 MB; smaller values take less memory and more time and give the same ids.
+CACHE_PIECES, SLICE_BYTES = 200_000, 4 << 20
+#: Bytes of a key that is kept at most.
+CACHE_BYTES = 64
 #: A plain piece: a space or line feed, letters that each stand for themselves, signs that no letter joins.
 _PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]*)")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -60,7 +61,8 @@ class PieceEncoder:
     the tokenizer files has it.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, pieces: int = CACHE_PIECES, slice_bytes: int = SLICE_BYTES) -> None:
+        self.slice_bytes = slice_bytes
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
@@ -69,7 +71,7 @@ class PieceEncoder:
         self.dtype = np.dtype(f"<u{self.width}")
         self.drops_space = not self._encode([" "]).ids
         # A text piece and what the model sees of a word can be the same string, so each has a cache of its own.
-        self.pieces, self.words = Generations(CACHE_PIECES), Generations(CACHE_WORDS)
+        self.pieces, self.words = Generations(pieces), Generations(pieces // 2)
         self.letters = {ord(c): self._seen(c) for c in map(chr, range(256)) if _PLAIN.fullmatch(c)}
         self.before = {"": "", "\n": "", " ": "" if self.drops_space else self._seen(" a")[:-1]}
         self.feed = b"" if self.drops_space else self._bytes(self._encode(["\n"]).ids)
@@ -149,7 +151,7 @@ class PieceEncoder:
         size = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
         at = 0
         while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + self.slice_bytes, "right")))
             yield self._encode_run(texts.slice(at, to - at))
             at = to
 
@@ -194,14 +196,15 @@ class PieceEncoder:
         return out
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """This worker's encoder for the tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+def encoder(path: str, *sizes: int) -> PieceEncoder:
+    """This worker's encoder for the tokenizer file, with the sizes of its cache and slices."""
+    if (path, *sizes) not in _encoders:
+        _encoders.clear()
+        _encoders[path, *sizes] = PieceEncoder(path, *sizes)
+    return _encoders[path, *sizes]
 
 
 def with_end(encoder_: PieceEncoder, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
