@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1, cache_pieces=40_000, slice_bytes=1 << 20)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash_dedup", near), ("source_mix", mix), ("packing", pack)]
