@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -146,10 +147,11 @@ def bits_on(words: str | Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc + F.bit_count(w))
 
 
-def packed_tanimoto(a: str, b: str) -> Column:
-    """Shared over all set bits of two packed sets of equal width; null if neither has any."""
-    shared = bits_on(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
-    return F.try_divide(shared, bits_on(a) + bits_on(b) - shared)
+def packed_tanimoto(a: str, b: str, width: int = 1024) -> Column:
+    """Shared over all set bits of two packed sets of that width; null if neither has any."""
+    words = [(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(width // 64)]
+    shared, all_ = (reduce(lambda x, y: x + y, [F.bit_count(f(x, y)) for x, y in words]) for f in (Column.bitwiseAND, Column.bitwiseOR))
+    return F.try_divide(shared, all_)
 
 
 def folded_key(x: Column) -> Column:

@@ -15,6 +15,18 @@ from quillon.operators.tables import SMALL_ROWS
 from quillon.sources.files import shared_table
 
 
+#: Longs of a bitmap of parities.
+PARITY_WORDS = 8
+
+
+def parity_bits(hashes: Column) -> Column:
+    """A bitmap of 64 * PARITY_WORDS bits: whether an odd number of the hashes falls on each. Sets that differ in k items differ in at most k bits."""
+    place = lambda h: F.pmod(F.shiftright(h, 8), F.lit(64 * PARITY_WORDS))
+    one = lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(h), F.lit(64)).cast("int")))
+    word = lambda i: F.aggregate(F.filter(hashes, lambda h: F.floor(place(h) / 64) == i), F.lit(0).cast("long"), one)
+    return F.array(*map(word, range(PARITY_WORDS)))
+
+
 def rating_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Raters, mean, sample deviation, median, maximum, and how often a value above zero was chosen."""
     v = F.col(value)
@@ -203,23 +215,43 @@ def fingerprint_table(df: DataFrame, ids: Sequence[str], tokens: Column, valid:
 
 
 def similar_pairs(df: DataFrame, id_col: str, items: str, threshold: float) -> DataFrame:
-    """Pairs a < b of sets with Jaccard similarity above the threshold, by prefix filtering.
-
-    Items are ordered by rising frequency; sets that are similar enough share one
-    of their first n - ceil(t n) + 1 items, so only those are joined.
+    """Pairs a < b of sets with Jaccard similarity above the threshold.
+
+    Items are ordered by rising frequency. Of two sets that are similar enough, the
+    larger has one of its first n - ceil(t n) + 1 items among the smaller one's first
+    n - ceil(2 t n / (1 + t)) + 1, so only those are joined. A joined row carries
+    an item's place and a bitmap of parities for each set, no items: what is left
+    behind the places bounds the overlap, and bits that differ bound the
+    difference from below, so a pair that fails either bound goes while it is joined. The
+    sets themselves are fetched once for the pairs that stay, and decide.
     """
-    sets = df.select(F.col(id_col).alias("id"), F.array_distinct(items).alias("items")).filter(F.size("items") > 0)
-    each = sets.select("id", F.explode("items").alias("item"))
+    t = threshold
+    sets = shared_table(df.select(F.col(id_col).alias("id"), F.array_distinct(items).alias("items")).filter(F.size("items") > 0))
+    hashed = sets.select("id", F.transform("items", lambda x: F.xxhash64(x)).alias("h"))
+    each = hashed.select("id", F.explode("h").alias("item"))
     rank = each.groupBy("item").agg(F.count(F.lit(1)).alias("f"))
     ordered = each.join(rank, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("o"))
     n = F.size("o")
-    first = F.slice("o", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))
-    keyed = ordered.select("id", F.transform("o", lambda s: s["item"]).alias("items"), F.explode(F.transform(first, lambda s: s["item"])).alias("item"))
-    left, right = keyed.select("item", F.col("id").alias("a"), F.col("items").alias("x")), keyed.select("item", F.col("id").alias("b"), F.col("items").alias("y"))
-    near = left.join(right, "item").filter((F.col("a") < F.col("b")) & (F.size("y") >= threshold * F.size("x")) & (F.size("x") >= threshold * F.size("y")))
-    one = near.dropDuplicates(["a", "b"])
+    ordered = shared_table(ordered.select("id", n.alias("n"), F.slice("o", F.lit(1), n - F.ceil(n * t).cast("int") + 1).alias("o"), parity_bits(F.transform("o", lambda s: s["item"])).alias("bits")))
+
+    def keyed(side: str, first: Column) -> DataFrame:
+        names = [F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "bits")]
+        return ordered.select(*names, F.posexplode(F.slice("o", F.lit(1), first)).alias(f"at_{side}", "s")).select("*", F.col("s.item").alias("item")).drop("s")
+
+    left = keyed("x", F.size("o"))
+    right = keyed("y", F.least(F.size("o"), F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - F.lit(1e-9)).cast("int") + 1))
+    smaller = (F.col("n_y") < F.col("n_x")) | ((F.col("n_y") == F.col("n_x")) & (F.col("id_y") < F.col("id_x")))
+    both = F.col("n_x") + F.col("n_y")
+    least = both * (t / (1 + t)) - 1e-9
+    left_over = 1 + F.least(F.col("n_x") - F.col("at_x") - 1, F.col("n_y") - F.col("at_y") - 1)
+    differ = sum(F.bit_count(F.get("bits_x", F.lit(i)).bitwiseXOR(F.get("bits_y", F.lit(i)))) for i in range(PARITY_WORDS))
+    near = (F.col("n_y") >= t * F.col("n_x")) & (left_over >= least) & (differ <= both - 2 * least)
+    found = left.join(right, "item").filter(smaller & near)
+    pairs = shared_table(found.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct())
+    own = lambda end, name: sets.select(F.col("id").alias(end), F.col("items").alias(name))
+    whole = pairs.join(own("a", "x"), "a").join(own("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return one.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).filter(F.col("similarity") > threshold)
+    return whole.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).filter(F.col("similarity") > threshold)
 
 
 def average_linkage(df: DataFrame, group: str, id_col: str, vector: str, cutoffs: Sequence[float], max_rows: int = 4000) -> DataFrame:

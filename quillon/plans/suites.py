@@ -197,6 +197,21 @@ def s12_apply_split_table(t):
     return applied.groupBy("seed", "part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+_LABEL_LISTS = "SELECT doc_id, list_distinct(list_filter([lang, source, CASE WHEN n_chars % 3 = 0 THEN 'third' END, CASE WHEN n_chars > 2000 THEN 'long' END], lambda x: x IS NOT NULL)) AS labels FROM documents"
+
+
+@query(f"SELECT seed, label, count(*) AS n, true AS in_bounds FROM ({_LABEL_LISTS}), unnest(labels) AS u(label), (SELECT unnest([42, 43, 44, 45, 46]) AS seed) GROUP BY 1, 2")
+def d3_iterative_marginals(t):
+    """Every label of every seed is within one row or one in a hundred of 70 to 30."""
+    own = F.array("lang", "source", F.when(F.col("n_chars") % 3 == 0, "third"), F.when(F.col("n_chars") > 2000, "long"))
+    rows, out = files.shared_table(t.documents.select("doc_id", own.alias("labels"))), None
+    for seed in _SEEDS:
+        made = P.label_marginals(P.iterative_split(rows, "doc_id", "labels", 0.7, seed), rows, "doc_id", "labels").withColumn("seed", F.lit(seed))
+        out = made if out is None else out.unionByName(made)
+    bound = F.greatest(F.lit(1.0), F.col("n") / 100) + 1e-6
+    return out.select("seed", "label", "n", (F.abs(F.col("n_train") - 0.7 * F.col("n")) <= bound).alias("in_bounds"))
+
+
 # Scans and sinks -----------------------------------------------------------------------
 
 #: A word that only one of the encodings reads, for each of them.

@@ -1,6 +1,7 @@
 """Groups and splits on rows with ties, nulls, chains of links and empty tables."""
 
 import itertools
+import random
 
 from quillon.operators import groups as G
 from quillon.operators import measures as M
@@ -43,6 +44,36 @@ def test_stratified(spark):
     assert a != b and a == dict(map(tuple, P.stratified_split(df.repartition(3), "i", "labels", 0.7).select("id", "part").collect()))
 
 
+def test_iterative_split_keeps_every_label(spark):
+    rng = random.Random(6)
+    names = [f"l{i}" for i in range(20)]
+    lists = [[n for at, n in enumerate(names) if rng.random() < 0.5 / (at + 1)] for _ in range(900)]
+    rows = [(i, [*x, None, *x[:1]]) for i, x in enumerate(lists)] + [(5000, None), (5001, []), (5002, ["alone"])]
+    df = spark.createDataFrame(rows, "i long, labels array<string>").repartition(3)
+    made = P.iterative_split(df, "i", "labels", 0.7)
+    assert made.count() == len(rows) == made.select("id").distinct().count()
+    for r in P.label_marginals(made, df, "i", "labels").collect():
+        assert abs(r["n_train"] - 0.7 * r["n"]) <= max(1, 0.01 * r["n"]), r
+    again = dict(map(tuple, P.iterative_split(df.repartition(5), "i", "labels", 0.7).select("id", "part").collect()))
+    first, other = (dict(map(tuple, x.select("id", "part").collect())) for x in (made, P.iterative_split(df, "i", "labels", 0.7, 43)))
+    assert again == first != other
+    assert P.iterative_split(df.limit(0), "i", "labels", 0.7).count() == 0
+
+
+def test_similar_pairs_of_many_sizes(spark):
+    """Thresholds, sizes at the edges of the prefixes, and sets that differ by one item."""
+    rng = random.Random(3)
+    sets = {}
+    for base in range(12):
+        own = rng.sample(range(200), 4 + 3 * base)
+        for copy in range(6):
+            sets[len(sets)] = {*own[: len(own) - copy % 3], *rng.sample(range(200), copy % 2)}
+    df = spark.createDataFrame([(i, [str(x) for x in s]) for i, s in sets.items()], "id long, x array<string>").repartition(3)
+    for t in (0.5, 0.75, 0.8, 0.9):
+        want = {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > t}
+        assert {(r["a"], r["b"]) for r in M.similar_pairs(df, "id", "x", t).collect()} == want
+
+
 def test_similar_pairs_against_brute_force(spark):
     sets = {i: {f"w{(i * k) % 17}" for k in range(1, 2 + i % 9)} for i in range(1, 60)} | {100: set()}
     df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, x array<string>")
