@@ -8,6 +8,7 @@ from quillon.functions import scalars as S
 from quillon.operators import audits as A
 from quillon.operators import groups as G
 from quillon.operators import measures as M
+from quillon.operators import summaries as Y
 from quillon.operators import tables as T
 from quillon.plans.registry import query, r
 from quillon.sources import files
@@ -231,7 +232,7 @@ def a29_a30_recheck(t):
 
 @query("SELECT p_brand, max(p_retailprice) AS best FROM part GROUP BY 1")
 def a33_best_value(t):
-    return t.part.groupBy("p_brand").agg(F.max("p_retailprice").alias("best"))
+    return Y.best_value(t.part, ["p_brand"], "p_retailprice")
 
 
 @query("""WITH d AS (SELECT doc_id, text, lang, source, n_chars FROM documents) SELECT count(*) AS n_rows, count(*) FILTER (doc_id IS NULL OR text IS NULL OR lang IS NULL OR source IS NULL OR n_chars IS NULL) AS n_rows_missing,

@@ -15,6 +15,7 @@ from quillon.operators import evaluation as E
 from quillon.operators import groups as G
 from quillon.operators import measures as M
 from quillon.operators import splits as P
+from quillon.operators import summaries as Y
 from quillon.operators import tables as T
 from quillon.sources import files
 
@@ -87,8 +88,8 @@ def s8_fixed_width(t):
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderpriority LIKE '1%' THEN 'urgent' WHEN o_totalprice > 300000 THEN 'large' ELSE '' END AS reason,
   (o_orderstatus IS NOT NULL AND o_orderstatus <> '')::int + (o_orderpriority <> '')::int AS n_known FROM orders""")
 def p10_ordered_reasons(t):
-    why = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderpriority").startswith("1"), "urgent").when(F.col("o_totalprice") > 300000, "large").otherwise("")
-    return t.orders.select("o_orderkey", why.alias("reason"), S.presence_score(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("n_known"))
+    rules = [(F.col("o_orderstatus") == "F", "done"), (F.col("o_orderpriority").startswith("1"), "urgent"), (F.col("o_totalprice") > 300000, "large")]
+    return t.orders.select("o_orderkey", Y.ordered_reason(rules).alias("reason"), S.presence_score(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("n_known"))
 
 
 @query("SELECT c_custkey, c_name, coalesce(nullif(trim(c_mktsegment), ''), c_name) AS name, '' AS note FROM customer")
@@ -125,8 +126,8 @@ def p14_membership_flags(t):
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(url, '^https?://www\\.') THEN 'www' WHEN regexp_matches(url, '^https?://m\\.') THEN 'mobile' WHEN starts_with(url, 'https') THEN 'secure' ELSE 'other' END AS category FROM pages""")
 def p16_category_by_prefix(t):
-    u = F.col("url")
-    return t.pages.select("page_id", F.when(u.rlike(r"^https?://www\."), "www").when(u.rlike(r"^https?://m\."), "mobile").when(u.startswith("https"), "secure").otherwise("other").alias("category"))
+    rules = [(("http://www.", "https://www."), "www"), (("http://m.", "https://m."), "mobile"), ("https", "secure")]
+    return t.pages.select("page_id", Y.category_by_prefix(F.col("url"), rules, "other").alias("category"))
 
 
 # Joins ----------------------------------------------------------------------
@@ -328,8 +329,7 @@ def a16_duplicates(t):
 
 @query("""SELECT s_nationkey, count(*) AS n, min(s_acctbal) AS least, round(median(s_acctbal), 6) AS median, round(avg(s_acctbal), 6) AS mean, round(coalesce(stddev_samp(s_acctbal), 0), 6) AS sd FROM supplier GROUP BY 1""")
 def a17_energy_summary(t):
-    b = F.col("s_acctbal")
-    return t.supplier.groupBy("s_nationkey").agg(F.count(b).alias("n"), F.min(b).alias("least"), r(F.median(b), "median"), r(F.avg(b), "mean"), r(F.coalesce(F.stddev_samp(b), F.lit(0.0)), "sd"))
+    return Y.energy_summary(t.supplier, ["s_nationkey"], "s_acctbal").withColumns({c: r(c) for c in ("median", "mean", "sd")})
 
 
 @query("""SELECT o_custkey, count(*) AS n_found, CASE WHEN count(*) >= 15 THEN 'complete' WHEN count(*) >= 5 THEN 'partial' ELSE 'few' END AS status, max(o_totalprice) AS best, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS best_key,
@@ -351,7 +351,7 @@ def a19_frequency(t):
 
 @query("SELECT DISTINCT l_suppkey, l_returnflag || ':' || l_linestatus || ':' || l_linenumber AS feature, 1 AS present FROM lineitem")
 def a21_feature_table(t):
-    return t.lineitem.select("l_suppkey", F.concat_ws(":", "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("feature")).distinct().withColumn("present", F.lit(1))
+    return Y.feature_rows(t.lineitem, ["l_suppkey"], ["l_returnflag", "l_linestatus", "l_linenumber"])
 
 
 @query("""SELECT o_orderkey, coalesce(n, 0) AS n, 4 AS expected, CASE WHEN coalesce(n, 0) = 4 THEN 'PASS' ELSE 'FAIL' END AS status FROM orders
@@ -362,7 +362,7 @@ def a24_expected_counts(t):
 
 @query("SELECT p_brand, count(DISTINCT md5(p_type)) AS n_hashes FROM part GROUP BY 1 HAVING count(DISTINCT md5(p_type)) > 1")
 def a25_inconsistent_groups(t):
-    return t.part.groupBy("p_brand").agg(F.countDistinct(F.md5("p_type")).alias("n_hashes")).filter("n_hashes > 1")
+    return Y.inconsistent_groups(t.part, ["p_brand"], F.md5("p_type"))
 
 
 @query("""SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'F') THEN 'FAIL' WHEN bool_or(o_orderstatus = 'P') THEN 'WARNING' ELSE 'PASS' END AS status FROM orders GROUP BY 1""")
@@ -373,8 +373,8 @@ def a27_worst_status(t):
 
 @query("SELECT count(DISTINCT l_partkey) / (SELECT count(*) FROM part) AS coverage FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01'")
 def a31_coverage(t):
-    seen = t.lineitem.filter("l_shipdate < timestamp '1996-01-01'").select(F.col("l_partkey").alias("p_partkey"), F.lit(True).alias("_s")).distinct()
-    return t.part.join(seen, "p_partkey", "left").agg((F.count_if(F.col("_s")) / F.count(F.lit(1))).alias("coverage"))
+    seen = t.lineitem.filter("l_shipdate < timestamp '1996-01-01'").select(F.col("l_partkey").alias("p_partkey"))
+    return Y.coverage(t.part, seen, "p_partkey").select("coverage")
 
 
 @query("""SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, min(value) AS "min", round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS median,
@@ -385,13 +385,12 @@ def a32_describe(t):
 
 @query("""SELECT c_mktsegment, list_sort(list(DISTINCT c_nationkey)) = list_transform(range(25), lambda x: x::int) AS matches FROM customer GROUP BY 1""")
 def a35_expected_sets(t):
-    return t.customer.groupBy("c_mktsegment").agg(F.array_sort(F.collect_set("c_nationkey")).eqNullSafe(F.sequence(F.lit(0), F.lit(24))).alias("matches"))
+    return Y.expected_sets(t.customer, ["c_mktsegment"], "c_nationkey", F.sequence(F.lit(0), F.lit(24))).select("c_mktsegment", "matches")
 
 
 @query("SELECT c_nationkey, count(DISTINCT c_custkey) AS n, CAST(count(DISTINCT c_custkey) * (count(DISTINCT c_custkey) - 1) / 2 AS BIGINT) AS n_pairs FROM customer GROUP BY 1")
 def a36_pair_counts(t):
-    g = t.customer.groupBy("c_nationkey").agg(F.countDistinct("c_custkey").alias("n"))
-    return g.withColumn("n_pairs", F.expr("n * (n - 1) div 2"))
+    return Y.pair_counts(t.customer, "c_nationkey", "c_custkey")
 
 
 # Windows, sorts, reshaping ----------------------------------------------------
@@ -453,8 +452,8 @@ def t2_roles_to_rows(t):
 UNION ALL (SELECT l_partkey, 'first' FROM lineitem WHERE l_quantity > 49 EXCEPT SELECT l_partkey, 'first' FROM lineitem WHERE l_quantity < 2)""")
 def t3_set_operations(t):
     keys = lambda where: t.lineitem.filter(where).select(F.col("l_partkey").alias("k"))
-    both = keys("l_returnflag = 'R'").intersect(keys("l_linestatus = 'O'")).withColumn("part", F.lit("both"))
-    return both.unionByName(keys("l_quantity > 49").subtract(keys("l_quantity < 2")).withColumn("part", F.lit("first")))
+    both = Y.set_operation(keys("l_returnflag = 'R'"), keys("l_linestatus = 'O'"), "intersect").withColumn("part", F.lit("both"))
+    return both.unionByName(Y.set_operation(keys("l_quantity > 49"), keys("l_quantity < 2"), "except").withColumn("part", F.lit("first")))
 
 
 @query("""SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey % 3 > 0 UNION ALL SELECT s_suppkey, s_nationkey + 100, s_acctbal FROM supplier WHERE s_suppkey % 3 = 0""")
@@ -738,10 +737,7 @@ def d7_nearest(t):
 @query("""SELECT l_returnflag, l_linestatus, round(avg(l_discount), 6) AS mean, round(stddev_pop(l_discount), 6) AS sd0, round(stddev_samp(l_discount), 6) AS sd1,
  CAST(row_number() OVER (ORDER BY round(avg(l_discount), 6) DESC, l_returnflag, l_linestatus) AS INT) AS rank FROM lineitem GROUP BY 1, 2""")
 def d9_importance(t):
-    from pyspark.sql import Window
-
-    g = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(r(F.avg("l_discount"), "mean"), r(F.stddev_pop("l_discount"), "sd0"), r(F.stddev_samp("l_discount"), "sd1"))
-    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), "l_returnflag", "l_linestatus")))  # a row for each feature
+    return Y.importance(t.lineitem, ["l_returnflag", "l_linestatus"], "l_discount")
 
 
 # Groups -----------------------------------------------------------------------

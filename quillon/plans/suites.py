@@ -10,6 +10,7 @@ from quillon.operators import checks as C
 from quillon.operators import evaluation as E
 from quillon.operators import measures as M
 from quillon.operators import splits as P
+from quillon.operators import summaries as Y
 from quillon.operators import tables as T
 from quillon.plans.registry import _line_features, _turn_lines, query, r
 from quillon.sources import files, scans
@@ -355,6 +356,44 @@ def a18_run_states(t):
     return made.withColumns({c: r(c) for c in ("mean", "sd", "q25", "median", "q75")})
 
 
+#: Answers of two parties to a line: returned or not, and shipped or not; a third of the lines lacks the first.
+_ANSWERS = """x AS (SELECT l_suppkey, p_brand, l_shipdate, CASE WHEN l_linenumber % 3 <> 0 THEN l_returnflag = 'R' END AS a, CASE WHEN l_quantity < 45 THEN l_linestatus = 'F' END AS b, l_tax FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+
+@query(f"""WITH {_ANSWERS}, g AS (SELECT l_suppkey, count(*) AS n_rows, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n_joint, count(*) FILTER (a = b) AS n_same,
+ coalesce(array_to_string(list_sort(list(DISTINCT p_brand) FILTER (a IS NOT NULL AND b IS NOT NULL)), ';'), '') AS labels_joint, coalesce(array_to_string(list_sort(list(DISTINCT p_brand) FILTER (a = b)), ';'), '') AS labels_same,
+ coalesce(array_to_string(list_sort(list(DISTINCT p_brand) FILTER (a <> b)), ';'), '') AS labels_different,
+ coalesce(array_to_string(list_sort(list(DISTINCT CASE WHEN l_tax < 0.04 THEN 'low' WHEN l_tax > 0.07 THEN 'high' END)), ';'), '') AS evidence FROM x GROUP BY 1)
+SELECT l_suppkey, n_rows, n_joint, n_same, n_joint - n_same AS n_different, round(n_same / nullif(n_joint, 0), 6) AS share_same, round((n_joint - n_same) / nullif(n_joint, 0), 6) AS share_different,
+ CASE WHEN n_joint < 2 THEN 'insufficient_data' WHEN n_joint = n_same THEN 'concordant' WHEN (n_joint - n_same) / n_joint >= 0.5 THEN 'divergent' ELSE 'indeterminate' END AS class,
+ n_joint >= 2 AS included, CASE WHEN n_joint >= 2 THEN '' ELSE 'insufficient_jointly_tested' END AS exclusion_reason, labels_joint, labels_same, labels_different, evidence FROM g""")
+def a9_concordance_with_evidence(t):
+    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).withColumn("level", F.when(F.col("l_tax") < 0.04, "low").when(F.col("l_tax") > 0.07, "high").otherwise(" "))
+    first, second = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_returnflag") == "R"), F.when(F.col("l_quantity") < 45, F.col("l_linestatus") == "F")
+    made = Y.pair_concordance(rows, ["l_suppkey"], first, second, "p_brand", "level")
+    return made.withColumns({c: r(c) for c in ("share_same", "share_different")})
+
+
+@query("""SELECT l_returnflag, count(*) FILTER (l_linenumber <= 4) AS n, count(*) FILTER (l_linenumber = 1) AS n_1, count(*) FILTER (l_linenumber = 2) AS n_2, count(*) FILTER (l_linenumber = 3) AS n_3, count(*) FILTER (l_linenumber = 4) AS n_4,
+ round(count(*) FILTER (l_linenumber IN (1, 3)) / count(*) FILTER (l_linenumber <= 4), 6) AS share_first, round(count(*) FILTER (l_linenumber IN (2, 3)) / count(*) FILTER (l_linenumber <= 4), 6) AS share_second,
+ round((count(*) FILTER (l_linenumber = 1) - count(*) FILTER (l_linenumber = 2)) / count(*) FILTER (l_linenumber <= 4), 6) AS difference FROM lineitem GROUP BY 1""")
+def a12_coded_answers(t):
+    return Y.response_summary(t.lineitem, ["l_returnflag"], "l_linenumber").withColumns({c: r(c) for c in ("share_first", "share_second", "difference")})
+
+
+@query("""SELECT c_nationkey, count(DISTINCT c_mktsegment) AS n_pairs, count(c_name) AS n_genes, count(*) FILTER (c_acctbal < 0) AS debts, count(*) FILTER (c_acctbal > 9000) AS rich, count(*) FILTER (c_acctbal < 0) = 1 AS debts_single, count(*) FILTER (c_acctbal < 0) = 0 AS debts_none,
+ count(*) FILTER (c_acctbal > 9000) = 1 AS rich_single, count(*) FILTER (c_acctbal > 9000) = 0 AS rich_none FROM customer GROUP BY 1""")
+def a7_coverage_counts(t):
+    return Y.coverage_counts(t.customer, ["c_nationkey"], "c_mktsegment", "c_name", {"debts": F.col("c_acctbal") < 0, "rich": F.col("c_acctbal") > 9000})
+
+
+@query("""WITH g AS (SELECT o_custkey, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY 1), p AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS n_success, count(*) FILTER (o_orderstatus = 'O') AS n_skipped FROM orders GROUP BY 1)
+SELECT o_custkey, n, n * (n - 1) // 2 AS n_pairs, n_success, n_skipped, n * (n - 1) // 2 - n_success - n_skipped AS n_unaccounted FROM g JOIN p USING (o_custkey)""")
+def a36_pair_accounts(t):
+    status = F.when(F.col("o_orderstatus") == "F", "SUCCESS").when(F.col("o_orderstatus") == "O", "SKIPPED_MISSING").otherwise("OPEN")
+    return Y.pair_counts(t.orders, "o_custkey", "o_orderkey", t.orders.select("o_custkey", status.alias("status")))
+
+
 @query("""SELECT o_custkey, o_orderpriority, array_to_string(list_sort(list_distinct(list(CAST(o_orderkey AS VARCHAR)))), ';') AS sources, array_to_string(list_sort(list_distinct(list(o_orderstatus))), ';') AS "values",
  'conflicting_duplicate_records' AS exclusion_reason FROM orders GROUP BY 1, 2 HAVING count(DISTINCT o_orderstatus) > 1""")
 def a8_conflict_rows(t):

@@ -13,6 +13,7 @@ from quillon.operators import checks as C
 from quillon.operators import evaluation as E
 from quillon.operators import measures as M
 from quillon.operators import splits as P
+from quillon.operators import summaries as Y
 from quillon.sources import files, scans
 
 
@@ -250,3 +251,27 @@ def test_conflicts_labels_axes_and_boxes(spark):
     assert angle["a"] == 0 and angle["b"] == pytest.approx(90)
     lines = spark.createDataFrame([("p", "ATOM  " + " " * 24 + "   1.000"), ("p", "ATOM  " + " " * 24 + "   1.x00"), ("q", "REMARK"), ("r", "HETATM" + " " * 24 + "  -2.5  ")], "f string, l string")
     assert rows(scans.fixed_width_report(lines, "f", "l", "^(ATOM  |HETATM)", {"x": (30, 38)})) == [("p", 2, 1, "1/2 records malformed", "FAIL"), ("q", 0, 0, "no records", "FAIL"), ("r", 1, 0, None, "PASS")]
+
+
+def test_summaries(spark):
+    df = spark.createDataFrame([("a", True, True, "x", "e"), ("a", True, False, "y", " "), ("a", None, True, "z", "d"), ("b", False, False, None, None)], "k string, p boolean, q boolean, label string, ev string")
+    got = {r["k"]: r for r in Y.pair_concordance(df, ["k"], F.col("p"), F.col("q"), "label", "ev").collect()}
+    assert tuple(got["a"])[1:] == (3, 2, 1, 1, 0.5, 0.5, "divergent", True, "", "x;y", "x", "y", "d;e")
+    assert tuple(got["b"])[1:] == (1, 1, 1, 0, 1.0, 0.0, "insufficient_data", False, "insufficient_jointly_tested", "", "", "", "")
+    assert Y.pair_concordance(df.limit(0), ["k"], F.col("p"), F.col("q"), "label", "ev").count() == 0
+    codes = spark.createDataFrame([(1,), (3,), (2,), (9,), (None,)], "c int")
+    assert tuple(Y.response_summary(codes, [], "c").first()) == (3, 1, 1, 1, 0, 2 / 3, 2 / 3, 0.0)
+    assert rows(codes.select(Y.ordered_reason([(F.col("c") > 2, "big"), (F.col("c") > 1, "mid")], "none").alias("r"))) == [("big",), ("big",), ("mid",), ("none",), ("none",)]
+    paths = spark.createDataFrame([("data/x/1",), ("data/2",), (None,)], "p string")
+    assert rows(paths.select(Y.category_by_prefix(F.col("p"), [("data/x/", "X"), (["data/", "raw/"], "D")], "?").alias("r"))) == [("?",), ("D",), ("X",)]
+    seen = spark.createDataFrame([(1,), (1,), (7,)], "k int")
+    assert tuple(Y.coverage(spark.createDataFrame([(1,), (2,), (2,)], "k int"), seen, "k").first()) == (2, 1, 0.5)
+    assert Y.coverage(seen.limit(0), seen, "k").first()["coverage"] is None
+    sets = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3), ("b", None)], "k string, v int")
+    assert rows(Y.expected_sets(sets, ["k"], "v", F.array(F.lit(1), F.lit(2)))) == [("a", True, [], []), ("b", False, [1], [3])]
+    pairs = spark.createDataFrame([("a", "SUCCESS"), ("b", "SKIPPED_X"), ("b", None)], "k string, status string")
+    assert rows(Y.pair_counts(sets, "k", "v", pairs)) == [("a", 2, 1, 1, 0, 0), ("b", 2, 1, 0, 1, 0)]
+    for how, n in (("union", 3), ("intersect", 1), ("except", 1)):
+        assert Y.set_operation(seen, spark.createDataFrame([(1,), (9,)], "k int"), how).count() == n
+    energies = spark.createDataFrame([("a", -1.0), ("b", None)], "k string, e double")
+    assert rows(Y.energy_summary(energies, ["k"], "e")) == [("a", 1, -1.0, -1.0, -1.0, 0.0), ("b", 0, None, None, None, None)]
