@@ -254,42 +254,68 @@ def similar_pairs(df: DataFrame, id_col: str, items: str, threshold: float) -> D
     return whole.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).filter(F.col("similarity") > threshold)
 
 
+def linkage_merges(x: np.ndarray) -> list[tuple[float, int, int]]:
+    """Merges (height, i, j) of average linkage of points: a chain of nearest neighbours is followed until two are each other's, so the work is quadratic.
+
+    i and j stand for the clusters that hold them. Equal distances may join in either order.
+    """
+    sq = (x * x).sum(axis=1)
+    d = np.sqrt(np.maximum(sq[:, None] + sq[None] - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, np.inf)
+    size, merges, chain = np.ones(len(x)), [], []
+    live = np.ones(len(x), bool)
+    while len(merges) < len(x) - 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(live)[0]))
+        c = chain[-1]
+        j = int(np.argmin(d[c]))
+        if len(chain) > 1 and d[c, chain[-2]] <= d[c, j]:
+            j = chain[-2]
+            i, j = min(c, j), max(c, j)
+            merges.append((float(d[i, j]), i, j))
+            row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+            d[i], d[:, i] = row, row
+            d[i, i], d[j], d[:, j] = np.inf, np.inf, np.inf
+            size[i], live[j] = size[i] + size[j], False
+            chain = chain[:-2]
+        else:
+            chain.append(j)
+    return sorted(merges)
+
+
 def average_linkage(df: DataFrame, group: str, id_col: str, vector: str, cutoffs: Sequence[float], max_rows: int = 4000) -> DataFrame:
     """group, id, cutoff and cluster by average linkage cut at each distance; clusters by falling size, then smallest id.
 
-    Groups are bounded by max_rows, beyond which an error is raised, and run side by side.
+    Groups of up to max_rows rows are clustered, each in one task. Larger ones are
+    not brought together: their rows have a null cluster, as have rows without a
+    vector. Rows of a null group are a group.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > max_rows:
-            raise ValueError(f"a group has {len(rows)} rows; at most {max_rows} are clustered")
         rows = rows.sort_values(id_col, ignore_index=True)
-        x = np.stack(rows[vector].to_numpy()).astype(float)
-        sq = (x * x).sum(axis=1)
-        d = np.sqrt(np.maximum(sq[:, None] + sq[None] - 2 * x @ x.T, 0))
-        np.fill_diagonal(d, np.inf)
-        size, of, merges = np.ones(len(x)), np.arange(len(x)), []
-        live = np.ones(len(x), bool)
-        for _ in range(len(x) - 1):
-            i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-            merges.append((d[i, j], i, j))
-            row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-            d[i], d[:, i] = row, row
-            d[i, i], d[j], d[:, j] = np.inf, np.inf, np.inf
-            size[i], live[j] = size[i] + size[j], False
+        merges = linkage_merges(np.stack(rows[vector].to_numpy()).astype(float))
         out = []
         for cut in cutoffs:
-            of = np.arange(len(x))
+            of = np.arange(len(rows))
             for height, i, j in merges:
                 if height <= cut:
-                    of[of == j] = i
+                    a, b = sorted((of[i], of[j]))
+                    of[of == b] = a
             names, counts = np.unique(of, return_counts=True)
             order = {n: r + 1 for r, (_, n) in enumerate(sorted(zip(-counts, names, strict=True)))}
             out.append(pd.DataFrame({group: rows[group], id_col: rows[id_col], "cutoff": cut, "cluster": [order[o] for o in of]}))
         return pd.concat(out)
 
     kinds = dict(df.dtypes)
-    return df.groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {id_col} {kinds[id_col]}, cutoff double, cluster int")
+    rows = df.select(group, id_col, vector)
+    large = rows.filter(F.col(vector).isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
+    large = shared_table(large)
+    same = F.col(group).eqNullSafe(F.col("_g"))
+    bounded = rows.filter(F.col(vector).isNotNull()).join(large, same, "left_anti")
+    made = bounded.groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {id_col} {kinds[id_col]}, cutoff double, cluster int")
+    rest = rows.join(large, same, "left_semi").unionByName(rows.filter(F.col(vector).isNull()).join(large, same, "left_anti"))
+    cuts = F.explode(F.array(*[F.lit(float(c)) for c in cutoffs])).alias("cutoff")
+    return made.unionByName(rest.select(group, id_col, cuts, F.lit(None).cast("int").alias("cluster")))
 
 
 def principal_axis(df: DataFrame, group: str, x: str, y: str, z: str) -> DataFrame:

@@ -173,6 +173,22 @@ def o3_correlation_table(t):
     return A.correlated_pairs(t.lineitem, names, -1.0).withColumn("r", r("r"))
 
 
+@query("SELECT label, vec_id // 250 AS block, count(*) AS n, 0 AS n_close, 0 AS n_loose FROM embeddings GROUP BY 1, 2")
+def m14_linkage_checks(t):
+    """Clusters of blocks of rows of a label at cut 1.1: no two of them lie within the cut on average, and each of several rows has two within it."""
+    v = t.embeddings.select("label", F.floor(F.col("vec_id") / 250).alias("block"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    v = files.shared_table(v.withColumn("g", F.concat_ws("/", "label", "block")))
+    made = files.shared_table(M.average_linkage(v.select("g", "vec_id", "v"), "g", "vec_id", "v", [1.1]).join(v.drop("g"), "vec_id"))
+    side = lambda s: made.select("g", F.col("vec_id").alias(s), F.col("cluster").alias(f"c{s}"), F.col("v").alias(f"v{s}"))
+    pairs = side("a").join(side("b"), "g").filter("a < b")  # groups of bounded size
+    between = pairs.filter("ca <> cb").groupBy("g", F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.avg(S.euclidean(F.col("va"), F.col("vb"))).alias("d"))
+    close = between.groupBy("g").agg(F.count_if(F.col("d") <= 1.1 - 1e-9).alias("n_close"))
+    within = pairs.filter("ca = cb").groupBy("g", "ca").agg(F.min(S.euclidean(F.col("va"), F.col("vb"))).alias("d")).groupBy("g").agg(F.count_if(F.col("d") > 1.1 + 1e-9).alias("n_loose"))
+    counts = made.groupBy("g", "label", "block").agg(F.count(F.lit(1)).alias("n"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return counts.join(close, "g", "left").join(within, "g", "left").select("label", "block", "n", zero("n_close"), zero("n_loose"))
+
+
 # Splits ----------------------------------------------------------------------------
 
 _SEEDS = (42, 43, 44, 45, 46)

@@ -15,13 +15,21 @@ from pyspark.sql.types import StructType
 ENCODINGS = ("utf-8", "utf-8-sig", "gbk", "latin1")
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    """An unused path in the folder that driver and executors share; a temporary folder where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset, as in tests on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def shared_table(df: DataFrame) -> DataFrame:

@@ -275,3 +275,33 @@ def test_summaries(spark):
         assert Y.set_operation(seen, spark.createDataFrame([(1,), (9,)], "k int"), how).count() == n
     energies = spark.createDataFrame([("a", -1.0), ("b", None)], "k string, e double")
     assert rows(Y.energy_summary(energies, ["k"], "e")) == [("a", 1, -1.0, -1.0, -1.0, 0.0), ("b", 0, None, None, None, None)]
+
+
+def brute_linkage(x, cut):
+    """Clusters of average linkage, by joining the two nearest until none are within the cut."""
+    groups = [[i] for i in range(len(x))]
+    gap = lambda a, b: np.mean([math.dist(x[i], x[j]) for i in a for j in b])
+    while len(groups) > 1:
+        d, a, b = min((gap(p, q), i, j) for i, p in enumerate(groups) for j, q in enumerate(groups) if i < j)
+        if d > cut:
+            break
+        groups[a] += groups.pop(b)
+    return {frozenset(g) for g in groups}
+
+
+def test_average_linkage_against_joining_the_nearest(spark):
+    x = np.random.default_rng(9).random((40, 3))
+    data = [("g", i, x[i].tolist()) for i in range(40)] + [("h", 50, [0.0]), ("h", 51, None), (None, 60, [1.0]), *[("big", 100 + i, [float(i)]) for i in range(60)]]
+    df = spark.createDataFrame(data, "g string, id int, v array<double>").repartition(3)
+    got = M.average_linkage(df, "g", "id", "v", [0.3, 0.5, 9.0], max_rows=50).collect()
+    assert len(got) == 3 * len(data)
+    for cut in (0.3, 0.5, 9.0):
+        of = {}
+        for r in got:
+            if r["g"] == "g" and r["cutoff"] == cut:
+                of.setdefault(r["cluster"], set()).add(r["id"])
+        assert {frozenset(v) for v in of.values()} == brute_linkage(x, cut)
+        sizes = [len(of[c]) for c in sorted(of)]
+        assert sizes == sorted(sizes, reverse=True)
+    rest = {(r["g"], r["id"]): r["cluster"] for r in got if r["g"] != "g"}
+    assert rest["h", 50] == rest[None, 60] == 1 and rest["h", 51] is None and {rest["big", 100 + i] for i in range(60)} == {None}
