@@ -37,7 +37,7 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import new_path, text_or_empty
+from quillon.llm.common import bounded_batches, new_path, text_or_empty
 from quillon.llm.tokens import encoder, with_end
 
 MAGIC = b"QSSTABL1"
@@ -207,6 +207,8 @@ class Manifest:
 def write_sstables(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Manifest:
     """Write shards of all documents below path, ordered by id across shards; the list of shards is all that the driver gets."""
 
+    bounded_batches(docs.sparkSession)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         shard = TaskContext.get().partitionId()
