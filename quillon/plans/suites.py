@@ -221,10 +221,8 @@ _LABEL_LISTS = "SELECT doc_id, list_distinct(list_filter([lang, source, CASE WHE
 def d3_iterative_marginals(t):
     """Every label of every seed is within one row or one in a hundred of 70 to 30."""
     own = F.array("lang", "source", F.when(F.col("n_chars") % 3 == 0, "third"), F.when(F.col("n_chars") > 2000, "long"))
-    rows, out = files.shared_table(t.documents.select("doc_id", own.alias("labels"))), None
-    for seed in _SEEDS:
-        made = P.label_marginals(P.iterative_split(rows, "doc_id", "labels", 0.7, seed), rows, "doc_id", "labels").withColumn("seed", F.lit(seed))
-        out = made if out is None else out.unionByName(made)
+    rows = files.shared_table(t.documents.select("doc_id", own.alias("labels")))
+    out = P.label_marginals(P.iterative_splits(rows, "doc_id", "labels", 0.7, _SEEDS), rows, "doc_id", "labels", ["seed"])
     bound = F.greatest(F.lit(1.0), F.col("n") / 100) + 1e-6
     return out.select("seed", "label", "n", (F.abs(F.col("n_train") - 0.7 * F.col("n")) <= bound).alias("in_bounds"))
 
