@@ -6,8 +6,10 @@ long as some rule's. Level 0 encodes the listed keys, level 1 those
 keys of the universe that level 0 wrongly accepts, level 2 the listed keys that
 level 1 wrongly accepts, and so on until none is left; the first level that
 rejects a key decides. For keys of that universe the answer is exact, so no join
-with the rules is needed. A filter's bits are set by a distributed aggregation,
-and only filters reach the driver; their sizes follow the list, not the corpus.
+of pages with the rules is needed. Rules that no page can ask for are left out first. A filter's bits are set by a distributed aggregation,
+and only filters reach the driver; their sizes follow the list, not the corpus. A
+filter is one binary literal of the plan. A list whose filter would be larger than
+MAX_FILTER_BYTES is joined with the keys instead, with the same result.
 
 Defined results: a null url, or one without "://", has an empty host and path
 and fits no rule; a url that fits no rule gets the default verdict; repeated
@@ -19,12 +21,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillon.llm.common import ascii_lower, materialize
 
-#: A filter may be this large at most; beyond it the list must be split.
-MAX_FILTER_BYTES = 1 << 20
+#: A filter may be this large at most; a longer list is joined.
+MAX_FILTER_BYTES = 32 << 20
+#: Bits that a byte of a filter holds: seven, so that any byte is a character.
+BYTE_BITS = 7
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -56,22 +61,22 @@ def candidate_keys(host: Column, path: Column, lengths: list[tuple[int, int]]) -
 
 @dataclass(frozen=True)
 class Level:
-    """One Bloom filter: words of 64 bits, and how many bits a key sets."""
+    """One Bloom filter: its bytes, of BYTE_BITS bits each, and how many bits a key sets."""
 
     level: int
-    words: tuple[int, ...]
+    packed: bytes
     hashes: int
 
     @property
     def bits(self) -> int:
-        return 64 * len(self.words)
+        return BYTE_BITS * len(self.packed)
 
     def accepts(self, key: Column) -> Column:
-        """Whether all bits of key are set. The words are a literal, as large as the filter."""
-        words = F.lit(list(self.words))
-        hit = F.lit(True)
+        """Whether all bits of key are set."""
+        packed, hit = F.lit(self.packed), F.lit(True)
         for at in _positions(key, self.level, self.bits, self.hashes):
-            hit = hit & (F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1)
+            byte = F.ascii(F.substring(packed, F.floor(at / BYTE_BITS).cast("int") + 1, F.lit(1)).cast("string"))
+            hit = hit & (F.getbit(byte, F.pmod(at, F.lit(BYTE_BITS)).cast("int")) == 1)
         return hit
 
 
@@ -83,42 +88,51 @@ def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
 
 def _build_level(keys: DataFrame, n_keys: int, rate: float, level: int) -> Level:
     """A filter of keys (column key) with about the given rate of false positives."""
-    bits = 64 * max(1, math.ceil(-n_keys * math.log(rate) / math.log(2) ** 2 / 64))
-    if bits > 8 * MAX_FILTER_BYTES:
-        raise ValueError(f"a filter of {bits} bits is over the limit; split the list")
+    n_bytes = filter_bytes(n_keys, rate)
+    bits = BYTE_BITS * n_bytes
     hashes = max(1, round(bits / max(n_keys, 1) * math.log(2)))
     hashes = min(hashes, 16)
     at = F.explode(F.array(*_positions(F.col("key"), level, bits, hashes)))
-    set_bits = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
-    words = [0] * (bits // 64)
-    one = F.expr("shiftleft(1L, cast(at & 63 as int))")
-    for word, value in set_bits.agg(F.bit_or(one)).collect():  # no more rows than the filter has words
-        words[word] = value
-    return Level(level, tuple(words), hashes)
+    each = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / BYTE_BITS).cast("int").alias("byte"))
+    one = F.expr(f"shiftleft(1, cast(pmod(at, {BYTE_BITS}) as int))")
+    set_bits = each.agg(F.bit_or(one).cast("int").alias("value")).toArrow()  # no more rows than the filter has bytes
+    packed = np.zeros(n_bytes, np.uint8)
+    packed[set_bits["byte"].to_numpy()] = set_bits["value"].to_numpy()
+    return Level(level, packed.tobytes(), hashes)
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame) -> list[Level]:
-    """Levels for exact membership of the universe's keys in the listed ones; both have a column key.
+def filter_bytes(n_keys: int, rate: float) -> int:
+    return max(1, math.ceil(-n_keys * math.log(rate) / math.log(2) ** 2 / BYTE_BITS))
+
+
+def build_cascade(universe: DataFrame, listed: DataFrame) -> list[Level] | DataFrame:
+    """Levels for exact membership of the universe's keys in the listed ones; both have a column key. The listed keys themselves if a filter would be too large.
 
     Level 0 is sized so that about as many false positives as listed keys are
     expected, and each further level halves what remains.
     """
-    inside = listed.select("key").filter("key is not null").distinct()
-    outside = universe.select("key").distinct().join(inside, "key", "left_anti")
-    inside, outside = materialize(inside, "cascade-in"), materialize(outside, "cascade-out")
+    inside = universe.select("key").distinct().join(listed.select("key").distinct(), "key", "left_semi")
+    inside = materialize(inside, "cascade-in")
+    outside = materialize(universe.select("key").distinct().join(inside, "key", "left_anti"), "cascade-out")
     n_in, n_out = inside.count(), outside.count()
     if not n_in:
         return []
+    if filter_bytes(n_in, _first_rate(n_in, n_out)) > MAX_FILTER_BYTES:
+        return inside
     levels, encode, other = [], inside, outside
     n_encode, n_other = n_in, n_out
     while n_encode:
-        rate = min(0.5, max(1e-9, n_encode / max(n_other, 1) / math.sqrt(2))) if not levels else 0.5
+        rate = 0.5 if levels else _first_rate(n_encode, n_other)
         levels.append(_build_level(encode, n_encode, rate, len(levels)))
         wrong = materialize(other.filter(levels[-1].accepts(F.col("key"))), "cascade-level")
         encode, other, n_encode, n_other = wrong, encode, wrong.count(), n_encode
     return levels
 
 
+def _first_rate(n_in: int, n_out: int) -> float:
+    return min(0.5, max(1e-9, n_in / max(n_out, 1) / math.sqrt(2)))
+
+
 def member(levels: list[Level], key: Column) -> Column:
     """Whether key is listed: the first level that rejects it decides, exactly for keys of the universe."""
     out = F.lit(len(levels) % 2 == 1)
@@ -150,16 +164,25 @@ def filter_urls(
     verdicts = {v: spark.createDataFrame([(r,) for r, x in rules.items() if x == v], "key string") for v in sorted(set(rules.values()))}
     known = materialize(universe, "url-universe")
     cascades = {v: build_cascade(known, listed) for v, listed in verdicts.items()}
-    found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    hits = F.transform(
-        "_keys",
-        lambda k: F.struct(
-            k.alias("rule"),
-            F.coalesce(*[F.when(member(levels, k), F.lit(v)) for v, levels in cascades.items()]).alias("verdict"),
-        ),
-    ) if rules else None
-    if hits is not None:
-        found = F.get(F.filter(hits, lambda h: h["verdict"].isNotNull()), F.lit(0))
-    return keyed.select("page_id", "host", "path", found.alias("_hit")).select(
+    joined = {v: x for v, x in cascades.items() if isinstance(x, DataFrame)}
+    filters = {v: x for v, x in cascades.items() if not isinstance(x, DataFrame) and x}
+    hit = lambda k: F.struct(k.alias("rule"), F.coalesce(*[F.when(member(levels, k), F.lit(v)) for v, levels in filters.items()], F.lit(None).cast("string")).alias("verdict"))
+    hits = F.filter(F.transform("_keys", hit), lambda h: h["verdict"].isNotNull())
+    if joined:
+        return _joined(keyed, hits, joined, default)
+    return keyed.select("page_id", "host", "path", F.get(hits, F.lit(0)).alias("_hit")).select(
         "page_id", "host", "path", F.col("_hit.rule").alias("rule"), F.coalesce("_hit.verdict", F.lit(default)).alias("verdict")
     )
+
+
+def _joined(keyed: DataFrame, hits: Column, joined: dict[str, DataFrame], default: str) -> DataFrame:
+    """As filter_urls, where the lists of some verdicts are joined: the keys of equal urls are looked up once."""
+    parts = materialize(keyed.select("host", "path", "_keys").distinct(), "url-parts")
+    table = None
+    for v, keys in joined.items():
+        one = keys.select("key", F.lit(v).alias("verdict"))
+        table = one if table is None else table.unionByName(one)
+    listed = parts.select("host", "path", F.explode("_keys").alias("key")).join(table, "key").select("host", "path", F.col("key").alias("rule"), "verdict")
+    known = parts.select("host", "path", F.inline(hits)).unionByName(listed)
+    best = known.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.position(F.lit("/"), F.col("rule")))).alias("_hit"))
+    return keyed.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("_hit.rule").alias("rule"), F.coalesce("_hit.verdict", F.lit(default)).alias("verdict"))

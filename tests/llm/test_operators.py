@@ -485,6 +485,28 @@ def test_media_columns(spark, edge_docs, no_docs):
 # language identification
 
 
+def test_long_lists_of_keys(spark):
+    """A million listed keys, a third of which no page can ask for, are told from the others exactly, by filters far larger than a word."""
+    universe = spark.range(900_000).selectExpr("concat('h', id, '/') as key")
+    listed = spark.range(1_000_000).selectExpr("concat('h', id * 3, '/') as key")
+    levels = url_filter.build_cascade(universe, listed)
+    assert isinstance(levels, list) and max(len(x.packed) for x in levels) > 50_000
+    found = universe.filter(url_filter.member(levels, universe["key"]))
+    assert found.count() == 300_000 and found.join(listed, "key", "left_anti").count() == 0
+
+
+def test_lists_beyond_the_largest_filter_are_joined(spark, monkeypatch):
+    rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow", "e.org/fr/": "block", "aa.org/": "allow", "a.org/b/": "block"}
+    hosts, paths = ["net", "example.net", "www.example.net", "xexample.net", "example.com", "org", "e.org", "aa.org", "a.org", "b.aa.org"], ["", "/", "/en/1", "/de/", "/fr/x", "/b/c", "/en"]
+    rows = [(i, f"http://{h}{p}") for i, (h, p) in enumerate(itertools.product(hosts, paths))] + [(900, None), (901, "nothing")]
+    pages = spark.createDataFrame([*rows, *rows[:5]], "page_id long, url string").repartition(3)
+    want = sorted(map(tuple, url_filter.filter_urls(pages, rules).collect()), key=repr)
+    for most in (0, 1):
+        monkeypatch.setattr(url_filter, "MAX_FILTER_BYTES", most)
+        assert sorted(map(tuple, url_filter.filter_urls(pages, rules).collect()), key=repr) == want
+    assert len(want) == len(rows) + 5 and {r[3] for r in want} == {*rules, None}
+
+
 def test_languages(spark, edge_docs, no_docs):
     got = {r["doc_id"]: r for r in langid.language_report(edge_docs).collect()}
     assert {r["lang_pred"] for r in got.values()} <= {"en", "de", "fr", "und"}
