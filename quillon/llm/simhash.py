@@ -1,12 +1,15 @@
 """SimHash fingerprints, linked within a Hamming radius by forests of BK-trees.
 
-Fingerprints within r bits agree wholly on two of any r + 2 blocks of bits, so
-each distinct fingerprint goes to one shard for each pair of blocks, keyed by
-the bits of both. A shard's BK-tree has children keyed by their
+Fingerprints within r bits agree wholly on one of any r + 1 blocks of bits, so
+each distinct fingerprint goes to one shard for each block, keyed by the first
+bits of it: as few of them as leave about `tree_nodes` fingerprints to a shard, however
+many there are in all. A shard's BK-tree has children keyed by their
 distance to the parent; a search follows only edges within the radius of the
 query's own distance. Each task holds the trees of its shards, so nothing that
 grows with the corpus is broadcast, and a shard with more than `tree_limit`
 fingerprints is split again by blocks of the bits that its key leaves open.
+Without `tree_nodes` shards are keyed by whole pairs of r + 2 blocks, two of
+which must agree: small trees, for callers that have other candidates as well.
 
 A shard yields, for each of its linked fingerprints, one edge to the smallest
 document of its linked group there: never all pairs. A distributed search for
@@ -22,6 +25,7 @@ smallest id, nulls last, and of rows with that id one by a hash of the row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,7 +38,11 @@ from pyspark.sql import DataFrame, functions as F
 from quillon.llm.common import materialize, maybe_broadcast, row_hash, text_or_empty
 
 #: Queries that search a forest together, and open pairs of query and node that they may have.
-SEARCH_ROWS, SEARCH_PAIRS = 50_000, 4_000_000
+SEARCH_ROWS, SEARCH_PAIRS = 50_000, 1_000_000
+#: Nodes, one for each shard that it goes to, of a task on average.
+TASK_NODES = 20_000
+#: Fingerprints of a shard on average, at most.
+TREE_NODES = 8000
 
 
 def shingle_hashes(text: str | None, width: int, seed: int) -> list[int]:
@@ -161,6 +169,13 @@ def _block_masks(bits: list[int], radius: int) -> list[int]:
     return [sum(c) for c in combinations(blocks, 2)]
 
 
+def _prefix_masks(n: int, radius: int, tree_nodes: int) -> list[int]:
+    """Masks of the first bits of radius + 1 blocks, so many that n values leave at most about tree_nodes to a key."""
+    bits = max(0, math.ceil(math.log2(max(n, 1) / tree_nodes)))
+    blocks = [part.tolist()[:bits] for part in np.array_split(np.arange(64), radius + 1)]
+    return sorted({sum(1 << b for b in block) for block in blocks})
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -171,8 +186,8 @@ def shard_keys(nodes: DataFrame, masks: list[int]) -> DataFrame:
     return nodes.withColumn("_s", F.explode(keys)).select("*", F.col("_s.m").alias("_mask"), F.col("_s.k").alias("_key")).drop("_s")
 
 
-def _edges_of_shards(shards: DataFrame, by: list[str], radius: int) -> DataFrame:
-    """(a, b): of each linked node the smallest node of its linked group in the shard."""
+def _edges_of_shards(shards: DataFrame, by: list[str], radius: int, parts: int) -> DataFrame:
+    """(a, b): of each linked node the smallest node of its linked group in the shard; shards are dealt to so many tasks."""
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"fp": [], "node": [], "_g": []}, dtype=np.int64), *frames])
@@ -183,23 +198,25 @@ def _edges_of_shards(shards: DataFrame, by: list[str], radius: int) -> DataFrame
             own = to != np.arange(len(to))
             yield pd.DataFrame({"a": node[own], "b": node[to[own]]})
 
-    return shards.select("fp", "node", F.xxhash64(*by).alias("_g")).repartition("_g").mapInPandas(of, "a long, b long")
+    return shards.select("fp", "node", F.xxhash64(*by).alias("_g")).repartition(parts, "_g").mapInPandas(of, "a long, b long")
 
 
-def near_edges(nodes: DataFrame, radius: int = 2, tree_limit: int = 200_000) -> DataFrame:
-    """Edges that connect all nodes (columns node, fp; distinct fp) within radius bits."""
-    masks = _block_masks(list(range(64)), radius)
+def near_edges(nodes: DataFrame, radius: int = 2, tree_limit: int = 200_000, tree_nodes: int | None = None) -> DataFrame:
+    """Edges that connect all nodes (columns node, fp; distinct fp; a table that is cheap to count) within radius bits."""
+    n = nodes.count()
+    masks = _prefix_masks(n, radius, tree_nodes) if tree_nodes else _block_masks(list(range(64)), radius)
+    parts = 1 + n * len(masks) // TASK_NODES
     shards = shard_keys(nodes, masks)
     large = materialize(shards.groupBy("_mask", "_key").count().filter(F.col("count") > tree_limit).select("_mask", "_key"), "simhash-large")
     if large.isEmpty():
-        return _edges_of_shards(shards, ["_mask", "_key"], radius)
+        return _edges_of_shards(shards, ["_mask", "_key"], radius, parts)
     large = maybe_broadcast(large, 32)
-    out = _edges_of_shards(shards.join(large, ["_mask", "_key"], "left_anti"), ["_mask", "_key"], radius)
+    out = _edges_of_shards(shards.join(large, ["_mask", "_key"], "left_anti"), ["_mask", "_key"], radius, parts)
     hot = shards.join(large, ["_mask", "_key"], "left_semi").withColumnsRenamed({"_mask": "_m0", "_key": "_k0"})
     for i, mask in enumerate(masks):
         inner = _block_masks([b for b in range(64) if not mask >> b & 1], radius)
         again = shard_keys(hot.filter(F.col("_m0") == i), inner)
-        out = out.unionByName(_edges_of_shards(again, ["_m0", "_k0", "_mask", "_key"], radius))
+        out = out.unionByName(_edges_of_shards(again, ["_m0", "_k0", "_mask", "_key"], radius, parts))
     return out
 
 
@@ -227,7 +244,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def _roots(nodes: DataFrame, radius: int, tree_limit: int) -> DataFrame:
     """fp and root (the smallest fingerprint that it is linked to) of all fingerprints (column fp, distinct) that are linked to others."""
-    edges = near_edges(nodes.select(F.col("fp").alias("node"), "fp"), radius, tree_limit)
+    edges = near_edges(nodes.select(F.col("fp").alias("node"), "fp"), radius, tree_limit, TREE_NODES)
     found = materialize(connected_components(edges), "simhash-members")
     return found.select(F.col("node").alias("fp"), F.col("component").alias("root")).unionByName(found.select(F.col("component").alias("fp"), F.col("component").alias("root")).distinct())
 
@@ -257,7 +274,7 @@ def simhash_dedup(
     key = [row_hash(docs, seed) for seed in (1, 2)]
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text"), key[0].alias("h1"), key[1].alias("h2"))
     prints = materialize(fingerprints(own, width, seed, "_text"), "simhash-prints")
-    roots = materialize(_roots(prints.select("fp").distinct(), radius, tree_limit), "simhash-roots")
+    roots = materialize(_roots(materialize(prints.select("fp").distinct(), "simhash-distinct"), radius, tree_limit), "simhash-roots")
     rooted = prints.join(maybe_broadcast(roots, 16), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")
     groups = rooted.groupBy("root").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")

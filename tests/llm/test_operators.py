@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 from quillon.llm import flac, langid, lm_score, packing, shard, simhash, sstable, url_filter
 from quillon.llm.exact_dedup import exact_dedup, exact_dedup_report
 from quillon.llm.mixing import mix_copies, mix_documents, mix_report, pivot, source_targets
+from quillon.llm.queries import QUERIES
 from quillon.llm.shard import minimax_cuts, shard_documents, shards_needed
 from quillon.llm.tokens import PieceEncoder
 
@@ -485,6 +486,54 @@ def test_media_columns(spark, edge_docs, no_docs):
 # language identification
 
 
+@pytest.mark.parametrize("tree_nodes", [None, 1, 20, 8000])
+def test_shards_of_any_size_lose_no_link(spark, tree_nodes):
+    rng = random.Random(4)
+    prints = {rng.getrandbits(64) for _ in range(300)}
+    for fp in list(prints)[:120]:
+        prints.add(fp ^ (1 << rng.randrange(64)))
+        prints.add(fp ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    nodes = spark.createDataFrame([(p, p) for p in signed], "node long, fp long")
+    edges = {tuple(r) for r in simhash.near_edges(nodes, 2, 200_000, tree_nodes).collect()}
+    unsigned = lambda x: x & ((1 << 64) - 1)
+    parent = {p: p for p in signed}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = {p: p for p in signed}
+    changed = True
+    near = [(a, b) for a, b in itertools.combinations(signed, 2) if (unsigned(a) ^ unsigned(b)).bit_count() <= 2]
+    while changed:
+        changed = False
+        for a, b in near:
+            low = min(want[a], want[b])
+            changed |= want[a] != low or want[b] != low
+            want[a] = want[b] = low
+    assert {p: root(p) for p in signed} == want
+
+
+def test_trees_are_pruned():
+    """A search of a tree of thousands of fingerprints visits a few in a hundred of them."""
+    value = np.random.default_rng(1).integers(0, 1 << 63, 4000, np.uint64)
+    forest, visits = simhash.Forest(np.zeros(4000, np.int64), value), 0
+    stack = [(np.arange(4000), forest.root_of[np.arange(4000)])]
+    while stack:
+        q, node = stack.pop()
+        visits += len(q)
+        d = np.bitwise_count(value[q] ^ value[node]).astype(np.int64)
+        low, high = np.searchsorted(forest.keys, node * 65 + np.maximum(d - 2, 0)), np.searchsorted(forest.keys, node * 65 + np.minimum(d + 2, 64), side="right")
+        if len(q) and (n := high - low).sum():
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            stack.append((np.repeat(q, n), forest.child[np.repeat(low, n) + step]))
+    assert visits / 4000 < 0.05 * 4000
+
+
 def test_long_lists_of_keys(spark):
     """A million listed keys, a third of which no page can ask for, are told from the others exactly, by filters far larger than a word."""
     universe = spark.range(900_000).selectExpr("concat('h', id, '/') as key")
@@ -756,3 +805,22 @@ def test_scores_beat_word_counts_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = lm_score.score_documents(docs).filter("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert got["s"] > got["b"]
+
+
+# every query on its whole table
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_cover_their_tables(spark, name):
+    folder = "/root/testdata/sf0.001"
+    rows = QUERIES[name](spark, folder)
+    count = lambda table: spark.read.parquet(f"{folder}/{table}.parquet").count()
+    if name.startswith("op4_"):
+        whole = rows.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+        assert len(whole) == count("documents") and all(r[1] == r[2] for r in whole)
+    elif name.startswith("op11_"):
+        assert rows.count() == 16 * count("embeddings")
+    elif name.startswith("op13_"):
+        assert rows.select("item_id").distinct().count() == count("benchmark")
+    else:
+        assert rows.count() == count("pages" if name.startswith("op2_") else "documents")
