@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: By default: pieces in a generation of the cache, half as many words, and bytes of text that are cut together, but for a
-#: single longer text. At most about 150 MB; smaller values take less memory and more time and give the same ids.
-CACHE_PIECES, SLICE_BYTES = 200_000, 4 << 20
+#: single longer text. At most about 250 MB; smaller values take less memory and more time and give the same ids.
+CACHE_PIECES, SLICE_BYTES = 400_000, 4 << 20
 #: Bytes of a key that is kept at most.
 CACHE_BYTES = 64
 #: A plain piece: a space or line feed, letters that each stand for themselves, signs that no letter joins.
@@ -108,28 +108,32 @@ class PieceEncoder:
         """Ids of distinct pieces: plain ones from their word and signs, others through the whole tokenizer."""
         self.pieces.turn()
         self.words.turn()
-        cache, out, other = self.pieces, [], []
-        for i, p in enumerate(pieces):
-            ids = cache.get(p)
+        young, old, other = self.pieces.young, self.pieces.old, []
+        out = list(map(young.get, pieces))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            p = pieces[i]
+            ids = old.get(p)
             if ids is None:
-                if m := _PLAIN.fullmatch(p):
-                    space, letters, signs = m.groups()
-                    ids = self._word(self.before[space] + letters.translate(self.letters))
-                    if space == "\n":
-                        ids = self.feed + ids
-                    if signs:
-                        ids += self._sign(signs)
-                    cache.put(p, ids)
-                else:
+                m = _PLAIN.fullmatch(p)
+                if m is None:
                     other.append(i)
-            out.append(ids)
+                    continue
+                space, letters, signs = m.groups()
+                ids = self._word(self.before[space] + letters.translate(self.letters))
+                if space == "\n":
+                    ids = self.feed + ids
+                if signs:
+                    ids += self._sign(signs)
+            if len(p) <= CACHE_BYTES:
+                young[p] = ids
+            out[i] = ids
         if other:
             found = self._encode([pieces[i] for i in other])
             ids = np.array(found.ids, self.dtype).tobytes()
             cut = (np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(other) + 1)) * self.width).tolist()
             for i, a, b in zip(other, cut, cut[1:], strict=False):
                 out[i] = ids[a:b]
-                cache.put(pieces[i], ids[a:b])
+                self.pieces.put(pieces[i], ids[a:b])
         return out
 
     def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
