@@ -32,3 +32,19 @@ def test_several_arrays_of_asked_rows(spark, monkeypatch):
     want = [(a, b, va, vb) for a, va in rows for b, vb in rows if a % 50 == 0 and a != b]
     key = lambda r: tuple((x is None, x or 0) for x in r)
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_only_classes_are_judged_and_all_their_rows_are_paired(spark, monkeypatch):
+    monkeypatch.setattr(T, "MEMBERS", (3, 40))
+    df = spark.range(0, 900).select("id", F.when(F.col("id") % 7 > 0, F.array(F.col("id") % 7 % 3)).alias("x"), (F.col("id") % 2 > 0).alias("odd"))
+    seen = []
+
+    def judge(pairs):
+        seen.append(pairs.count())
+        kept = F.coalesce(F.get("x_a", F.lit(0)), F.lit(1)) == F.coalesce(F.get("x_b", F.lit(0)), F.lit(1))
+        return pairs.filter(kept).select("_class_a", "_class_b", "_n_b", (F.col("odd_a") | F.col("odd_b")).alias("any"))
+
+    got = sorted(tuple(r) for r in T.pairs_by_class(df, "id % 50 = 0", "id", ["x", "odd"], judge).select("a", "b", "any").collect())
+    rows = [(r["id"], r["x"][0] if r["x"] is not None else 1, r["odd"]) for r in df.collect()]
+    assert got == sorted((a, b, p or q) for a, x, p in rows for b, y, q in rows if a % 50 == 0 and a != b and x == y)
+    assert seen[0] <= 8 * 8
