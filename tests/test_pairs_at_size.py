@@ -48,3 +48,17 @@ def test_only_classes_are_judged_and_all_their_rows_are_paired(spark, monkeypatc
     rows = [(r["id"], r["x"][0] if r["x"] is not None else 1, r["odd"]) for r in df.collect()]
     assert got == sorted((a, b, p or q) for a, x, p in rows for b, y, q in rows if a % 50 == 0 and a != b and x == y)
     assert seen[0] <= 8 * 8
+
+
+def test_sets_meet_by_their_places_and_each_pair_once(spark):
+    places = F.transform(F.sequence(F.lit(0), F.col("id") % 5), lambda i: F.pmod(F.xxhash64("id", i), F.lit(40)).cast("int") * 3)
+    df = spark.range(0, 500).select("id", F.when(F.col("id") % 9 > 0, F.concat(places, F.slice(places, 1, 1))).alias("x"))
+    df = df.union(spark.createDataFrame([(1000, [63, 64, 127]), (1001, [127, 63]), (1002, [127]), (None, [127])], "id long, x array<int>"))
+    got = sorted(tuple(r) for r in T.overlapping_with_asked(df, "id % 50 = 0", "id", "x", 128, parts=3).select("a", "b", "shared", "either").collect())
+    rows = [(r["id"], set(r["x"] or [])) for r in df.collect() if r["id"] is not None]
+    assert got == sorted((a, b, len(x & y), len(x | y)) for a, x in rows for b, y in rows if a % 50 == 0 and a != b and x & y)
+
+
+def test_packed_sets_that_share_nothing_are_not_paired(spark):
+    text = plan(registry.QUERIES["m1_f14_packed_tanimoto"](spark, SF))
+    assert "_bit" in text.split("ShuffledHashJoin")[1].split("\n")[0]
