@@ -1,8 +1,11 @@
 """Pairs of asked rows with all others, without work that grows faster than the pairs that are returned."""
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
+from quillon.operators import measures as M
 from quillon.operators import tables as T
 from quillon.plans import registry
 
@@ -62,3 +65,17 @@ def test_sets_meet_by_their_places_and_each_pair_once(spark):
 def test_packed_sets_that_share_nothing_are_not_paired(spark):
     text = plan(registry.QUERIES["m1_f14_packed_tanimoto"](spark, SF))
     assert "_bit" in text.split("ShuffledHashJoin")[1].split("\n")[0]
+
+
+def test_sets_move_once_for_all_their_pairs(spark, monkeypatch):
+    """Near copies of one set, items beyond the frequent ones, several blocks; a set's items are not joined to its pairs."""
+    monkeypatch.setattr(M, "FREQUENT_ITEMS", 5)
+    monkeypatch.setattr(M, "BLOCK_SETS", 7)
+    monkeypatch.setattr(M, "ITEMS_AT_ONCE", 50)
+    sets = {i: {*range(40)} - {i % 13} | {100 + i % 7} for i in range(90)} | {i: {*range(i % 30 + 1)} for i in range(200, 260)}
+    df = spark.createDataFrame([(i, [str(x) for x in s] + [None] * (i % 2)) for i, s in sets.items()], "id long, x array<string>")
+    full = {i: s | ({None} if i % 2 else set()) for i, s in sets.items()}
+    want = {(a, b): len(full[a] & full[b]) / len(full[a] | full[b]) for a, b in itertools.combinations(sorted(full), 2)}
+    pairs = M.similar_pairs(df, "id", "x", 0.8)
+    assert {(r["a"], r["b"]): r["similarity"] for r in pairs.collect()} == {p: s for p, s in want.items() if s > 0.8}
+    assert "FlatMapCoGroupsInArrow" in plan(pairs)
